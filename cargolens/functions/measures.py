@@ -7,23 +7,66 @@ any order; only the result becomes a double.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cargolens.schema import ON_TIME_STATUSES
 
 
-def total(column: Column | str) -> Column:
-    return F.coalesce(F.sum(column).cast("double"), F.lit(0.0))
+# What measures are made of: aggregates of order items that simply add up, so groups can
+# be formed in steps and the result is the same.
+PARTS = {
+    "items": lambda: F.count("*"),
+    "orders_n": lambda: F.count("order_id"),
+    "sales_sum": lambda: F.sum("sales"),
+    "sales_n": lambda: F.count("sales"),
+    "profit_sum": lambda: F.sum("profit"),
+    "profit_n": lambda: F.count("profit"),
+    "margin_sum": lambda: F.sum("profit_margin_pct"),
+    "margin_n": lambda: F.count("profit_margin_pct"),
+    "delay_sum": lambda: F.sum("shipping_delay_days"),
+    "delay_n": lambda: F.count("shipping_delay_days"),
+    "discount_sum": lambda: F.sum("discount_rate"),
+    "discount_n": lambda: F.count("discount_rate"),
+    "late_n": lambda: F.sum("is_late"),
+    "risk_sum": lambda: F.sum("late_delivery_risk"),
+    "risk_n": lambda: F.count("late_delivery_risk"),
+    "on_time_n": lambda: F.count_if(on_time()),
+}
+
+# Each measure as a formula over parts; ``part`` turns a part's name into an aggregate.
+MEASURES = {
+    "order_items": lambda part: part("items"),
+    "orders_present": lambda part: part("orders_n"),
+    "total_sales": lambda part: _or_zero(part("sales_sum")),
+    "total_profit": lambda part: _or_zero(part("profit_sum")),
+    "avg_sales": lambda part: _ratio(part("sales_sum"), part("sales_n")),
+    "avg_profit": lambda part: _ratio(part("profit_sum"), part("profit_n")),
+    "margin_of_sums_pct": lambda part: _ratio(part("profit_sum"), part("sales_sum")) * 100,
+    "avg_profit_margin_pct": lambda part: _ratio(part("margin_sum"), part("margin_n")),
+    "avg_delay_days": lambda part: _ratio(part("delay_sum"), part("delay_n")),
+    "avg_discount_pct": lambda part: _ratio(part("discount_sum"), part("discount_n")) * 100,
+    "late_rate_pct": lambda part: _ratio(part("late_n"), part("items")) * 100,
+    "late_risk_pct": lambda part: _ratio(part("risk_sum"), part("risk_n")) * 100,
+    "late_risk_items": lambda part: F.coalesce(part("risk_sum"), F.lit(0)),
+    "on_time_items": lambda part: part("on_time_n"),
+    "on_time_pct": lambda part: _ratio(part("on_time_n"), part("items")) * 100,
+}
+
 
+def _or_zero(value: Column) -> Column:
+    return F.coalesce(value.cast("double"), F.lit(0.0))
 
-def mean(column: Column | str) -> Column:
-    return F.try_divide(F.sum(column).cast("double"), F.count(column))
+
+def _ratio(part: Column, whole: Column) -> Column:
+    """A quotient of doubles, null when the whole is zero or missing."""
+    return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """``part / whole * 100``, null when the whole is zero."""
-    return F.try_divide(part, whole) * 100
+    return _ratio(part, whole) * 100
 
 
 def on_time(status: str = "delivery_status") -> Column:
@@ -33,22 +76,19 @@ def on_time(status: str = "delivery_status") -> Column:
 
 def measure(name: str) -> Column:
     """The named aggregate over order items."""
-    return MEASURES[name]().alias(name)
+    if name == "total_orders":  # distinct orders do not add up
+        return F.count_distinct("order_id").alias(name)
+    return MEASURES[name](lambda part: PARTS[part]()).alias(name)
 
 
-MEASURES = {
-    "total_sales": lambda: total("sales"),
-    "total_profit": lambda: total("profit"),
-    "order_items": lambda: F.count("*"),
-    "orders_present": lambda: F.count("order_id"),
-    "total_orders": lambda: F.count_distinct("order_id"),
-    "avg_sales": lambda: mean("sales"),
-    "avg_profit": lambda: mean("profit"),
-    "avg_profit_margin_pct": lambda: mean("profit_margin_pct"),
-    "avg_delay_days": lambda: mean("shipping_delay_days"),
-    "avg_discount_pct": lambda: mean("discount_rate") * 100,
-    "late_rate_pct": lambda: mean("is_late") * 100,
-    "late_risk_pct": lambda: mean("late_delivery_risk") * 100,
-    "on_time_pct": lambda: mean(on_time().cast("int")) * 100,
-    "margin_of_sums_pct": lambda: percent(total("profit"), total("sales")),
-}
+def parts_of(names: Sequence[str]) -> list[Column]:
+    """The parts the measures need, as aggregates over order items."""
+    needed: dict[str, None] = {}
+    for name in names:
+        MEASURES[name](lambda part: needed.setdefault(part) or F.lit(0))
+    return [PARTS[part]().alias(part) for part in needed]
+
+
+def measure_of_parts(name: str) -> Column:
+    """The named aggregate over groups that hold parts."""
+    return MEASURES[name](F.sum).alias(name)

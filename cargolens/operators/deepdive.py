@@ -7,18 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.functions.measures import measure, percent, total
+from cargolens.functions.measures import measure, percent
 from cargolens.operators.quantiles import exact_quantiles
 from cargolens.operators.reports import group_report, share_of_total
 from cargolens.schema import AT_RISK_ORDER_STATUSES
 
 
 def late_risk_rate(df: DataFrame) -> DataFrame:
-    return df.agg(
-        measure("late_risk_pct"),
-        F.coalesce(F.sum("late_delivery_risk"), F.lit(0)).alias("late_risk_items"),
-        F.count("*").alias("order_items"),
-    )
+    return df.agg(measure("late_risk_pct"), measure("late_risk_items"), measure("order_items"))
 
 
 def late_risk_by(df: DataFrame, dim: str) -> DataFrame:
@@ -68,13 +64,13 @@ def discount_profit_corr(df: DataFrame) -> DataFrame:
 
 
 def _order_values(df: DataFrame) -> DataFrame:
-    return group_report(df, ["order_id"], [F.sum("sales").alias("order_sales")])
+    return group_report(df, ["order_id"], [F.coalesce(F.sum("sales"), F.lit(0)).alias("order_sales")])
 
 
 def avg_order_value_by_order(df: DataFrame) -> DataFrame:
     """Mean over orders of the order's sales, unlike the KPI, which is per item."""
     return _order_values(df).agg(
-        F.try_divide(total("order_sales"), F.count("*")).alias("avg_order_value"),
+        F.try_divide(F.sum("order_sales").cast("double"), F.count("*")).alias("avg_order_value"),
         F.count("*").alias("orders"),
     )
 

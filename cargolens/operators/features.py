@@ -54,7 +54,7 @@ def revenue_band_edges(df: DataFrame) -> DataFrame:
     probabilities = (0.0, 0.25, 0.5, 0.75, 1.0)
     quantiles = exact_quantiles(df, ["sales"], probabilities)
     edge = [F.max(F.when(F.col("probability") == p, F.col("value"))) for p in probabilities]
-    distinct = F.count_distinct("value") == len(probabilities)
+    distinct = F.size(F.collect_set("value")) == len(probabilities)
     return quantiles.agg(
         F.struct(
             edge[1].alias("q1"), edge[2].alias("q2"), edge[3].alias("q3"),

@@ -39,10 +39,10 @@ def _histogram(values: DataFrame, bin_number: Column, *within: str) -> DataFrame
 def _spans_with_ranks(histogram: DataFrame, *within: str) -> DataFrame:
     """The bins that hold a wanted rank, one row per bin and rank."""
     upto = F.sum("n").over(W.partitionBy(*within).orderBy("bin"))
-    wanted = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))
+    inside = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))
     return (
         histogram.withColumn("below", F.col("start") + upto - F.col("n"))
-        .withColumn("ranks", wanted)
+        .withColumn("ranks", inside)
         .where(F.size("ranks") > 0)
     )
 
@@ -63,6 +63,7 @@ def _as_spans(bins: DataFrame) -> DataFrame:
         F.col("bin_lo").alias("lo"),
         F.col("bin_hi").alias("hi"),
         F.col("below").alias("start"),
+        "last",
         "ranks",
     )
 
@@ -80,36 +81,33 @@ def exact_quantiles(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
 
-    coarse = _histogram(values, _coarse_bin(), "column_name")
-    last = F.sum("n").over(W.partitionBy("column_name")) - 1
-    ranks = F.array_distinct(
-        F.array(*[f(last * F.lit(float(p))) for p in probabilities for f in (F.floor, F.ceil)])
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    coarse = _histogram(values, _coarse_bin(), "column_name").withColumns(
+        {
+            "last": F.sum("n").over(W.partitionBy("column_name")) - 1,
+            "start": F.lit(0).cast("bigint"),
+        }
     )
-    coarse_spans = _as_spans(
-        _spans_with_ranks(
-            coarse.withColumns({"ranks": ranks, "start": F.lit(0).cast("bigint")}), "column_name"
-        )
+    positions = F.transform(wanted, lambda p: p * F.col("last"))
+    ranks = F.array_distinct(
+        F.flatten(F.transform(positions, lambda at: F.array(F.floor(at), F.ceil(at))))
     )
+    coarse_spans = _as_spans(_spans_with_ranks(coarse.withColumn("ranks", ranks), "column_name"))
 
-    span = ["column_name", "lo", "hi", "start", "ranks"]
+    span = ["column_name", "lo", "hi", "start", "last", "ranks"]
     fine = _histogram(_inside(values, coarse_spans), _fine_bin(), *span)
     fine_spans = _as_spans(_spans_with_ranks(fine, *span))
 
     single = _inside(values, fine_spans).groupBy(*span, "value").agg(F.count("*").alias("n"))
     at_rank = _spans_with_ranks(single.withColumn("bin", F.col("value")), *span).select(
-        "column_name", F.explode("ranks").alias("rank"), "value"
+        "column_name", "last", F.explode("ranks").alias("rank"), "value"
     )
 
-    sizes = coarse.groupBy("column_name").agg(F.sum("n").alias("size"))
-    targets = sizes.select(
-        "column_name",
-        F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability"),
-        (F.col("size") - 1).alias("last"),
-    ).withColumn("position", F.col("last") * F.col("probability"))
-    ends = targets.join(
-        at_rank,
-        "column_name",
-    ).where(F.col("rank").isin(F.floor("position"), F.ceil("position")))
+    ends = (
+        at_rank.withColumn("probability", F.explode(wanted))
+        .withColumn("position", F.col("probability") * F.col("last"))
+        .where(F.col("rank").isin(F.floor("position"), F.ceil("position")))
+    )
     lower, upper = F.min("value"), F.max("value")
     share = F.first("position") - F.floor(F.first("position"))
     return ends.groupBy("column_name", "probability").agg(

@@ -80,9 +80,6 @@ DOMAINS: dict[str, dict[str, Report]] = {
         "top_products_by_profit": _by("product_name", "total_profit", DESC, 15),
         "bottom_products": _by("product_name", "total_profit", ASC, 10),
         "category_profit_margin": _by("category_name", "avg_profit_margin_pct", DESC),
-        "category_scatter": Report(
-            ("category_name",), ("total_sales", "total_profit", "orders_present")
-        ),
     },
     "shipping": {
         "mode_counts": _by("shipping_mode", "order_items"),
@@ -108,6 +105,9 @@ DOMAINS: dict[str, dict[str, Report]] = {
         "market_order_count": _by("market", "total_orders"),
     },
     "overview": {
+        "category_scatter": Report(
+            ("category_name",), ("total_sales", "total_profit", "orders_present")
+        ),
         "yearly_sales_vs_profit": Report(("order_year",), ("total_sales", "total_profit")),
         "rows_by_year": _by("order_year", "order_items"),
     },
@@ -158,10 +158,8 @@ def analysis(df: DataFrame, domain: str) -> dict[str, DataFrame]:
 
 def share_of_total(grouped: DataFrame, value: str, digits: int = 1) -> DataFrame:
     """Add ``share_pct``: the row's part of the sum over all rows of the report."""
-    whole = grouped.agg(F.sum(value).cast("double")).scalar()
-    return grouped.withColumn(
-        "share_pct", F.round(percent(F.col(value).cast("double"), whole), digits)
-    )
+    whole = grouped.agg(F.sum(value)).scalar()
+    return grouped.withColumn("share_pct", F.round(percent(F.col(value), whole), digits))
 
 
 def loss_flag(df: DataFrame, value: str = "total_profit") -> DataFrame:

@@ -6,24 +6,50 @@ no row, and an empty input leaves the placeholder. Nothing is decided on the dri
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cargolens.functions.measures import measure
 from cargolens.functions.text import fixed_point, grouped
+from cargolens.operators.reports import group_report
 from cargolens.plans.facts import facts
 
-# The business questions: name, wording, text answer, numeric answer, in facts columns.
+
+
+@dataclass(frozen=True)
+class Question:
+    """A business question: the key of a dimension's largest measure, or one figure."""
+
+    name: str
+    wording: str
+    fact: str
+    measure: str
+    dimension: str | None = None
+
+
 QUESTIONS = (
-    ("top_market_by_revenue", "Which market brings in the most revenue?", "top_market", None),
-    ("most_profitable_segment", "Which customer segment earns the most profit?", "top_segment", None),
-    ("most_used_shipping_mode", "Which shipping mode is used most often?", "common_mode", None),
-    ("on_time_delivery_rate_pct", "What share of deliveries is on time?", None, "on_time_rate"),
-    ("highest_margin_category", "Which category has the best average margin?", "top_margin_category", None),
-    ("highest_late_rate_region", "Which region is late most often?", "latest_region", None),
-    ("avg_shipping_delay_days", "How many days is shipping late on average?", None, "avg_delay_days"),
-    ("most_common_order_status", "Which order status is most common?", "common_status", None),
-    ("top_department_by_sales", "Which department sells the most?", "top_department", None),
-    ("avg_discount_rate_pct", "What is the average discount?", None, "avg_discount_rate"),
+    Question("top_market_by_revenue", "Which market brings in the most revenue?",
+             "top_market", "total_sales", "market"),
+    Question("most_profitable_segment", "Which customer segment earns the most profit?",
+             "top_segment", "total_profit", "customer_segment"),
+    Question("most_used_shipping_mode", "Which shipping mode is used most often?",
+             "common_mode", "order_items", "shipping_mode"),
+    Question("on_time_delivery_rate_pct", "What share of deliveries is on time?",
+             "on_time_rate", "on_time_pct"),
+    Question("highest_margin_category", "Which category has the best average margin?",
+             "top_margin_category", "avg_profit_margin_pct", "category_name"),
+    Question("highest_late_rate_region", "Which region is late most often?",
+             "latest_region", "late_rate_pct", "order_region"),
+    Question("avg_shipping_delay_days", "How many days is shipping late on average?",
+             "avg_delay_days", "avg_delay_days"),
+    Question("most_common_order_status", "Which order status is most common?",
+             "common_status", "order_items", "order_status"),
+    Question("top_department_by_sales", "Which department sells the most?",
+             "top_department", "total_sales", "department_name"),
+    Question("avg_discount_rate_pct", "What is the average discount?",
+             "avg_discount_rate", "avg_discount_pct"),
 )
 
 PRIORITY_RANK = {"High": 1, "Medium": 2, "Low": 3}
@@ -44,15 +70,17 @@ def _expand(row: DataFrame, entries: list[Column], fields: tuple[str, ...]) -> D
 
 def business_answers(df: DataFrame) -> DataFrame:
     """Rows ``(question_no, question, wording, answer_text, answer_value)``."""
+    no_text, no_value = F.lit(None).cast("string"), F.lit(None).cast("double")
     entries = []
-    for number, (name, wording, text, value) in enumerate(QUESTIONS, start=1):
+    for number, question in enumerate(QUESTIONS, start=1):
+        known = F.col(question.fact)
         entries.append(
             F.struct(
                 F.lit(number).alias("question_no"),
-                F.lit(name).alias("question"),
-                F.lit(wording).alias("wording"),
-                (F.col(text) if text else F.lit(None).cast("string")).alias("answer_text"),
-                (F.col(value) if value else F.lit(None).cast("double")).alias("answer_value"),
+                F.lit(question.name).alias("question"),
+                F.lit(question.wording).alias("wording"),
+                (known if question.dimension else no_text).alias("answer_text"),
+                (no_value if question.dimension else known).alias("answer_value"),
                 F.lit(True).alias("applies"),
             )
         )
@@ -60,11 +88,18 @@ def business_answers(df: DataFrame) -> DataFrame:
     return _expand(facts(df), entries, fields)
 
 
-def answer(df: DataFrame, question: str) -> DataFrame:
-    """The single answer to one question, under the question's name."""
-    number = [name for name, *_ in QUESTIONS].index(question)
-    _, _, text, value = QUESTIONS[number]
-    return facts(df).select(F.col(text or value).alias(question))
+def answer(df: DataFrame, name: str) -> DataFrame:
+    """One row and one column: the answer to one question, null for an empty input.
+
+    Reads only the one or two columns the question is about.
+    """
+    question = next(q for q in QUESTIONS if q.name == name)
+    if question.dimension is None:
+        return df.agg(F.round(measure(question.measure), 2).alias(name))
+    groups = group_report(df, [question.dimension], [measure(question.measure)])
+    ranked = F.struct((-F.col(question.measure)).alias("v"), F.col(question.dimension).alias("key"))
+    known = F.col(question.measure).isNotNull()
+    return groups.agg(F.min(F.when(known, ranked))["key"].alias(name))
 
 
 def insights(df: DataFrame) -> DataFrame:

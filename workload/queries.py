@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.functions.measures import on_time
+from cargolens.functions.measures import measure
 from cargolens.functions.text import fmt_currency, fmt_number, fmt_percent
 from cargolens.operators import deepdive, quality
 from cargolens.operators.cleaning import clean, clean_summary
@@ -111,7 +111,7 @@ REPORTS = {
     "top_products_by_profit": ("product", "top_products_by_profit"),
     "bottom_products": ("product", "bottom_products"),
     "category_profit_margin": ("product", "category_profit_margin"),
-    "category_scatter": ("product", "category_scatter"),
+    "category_scatter": ("overview", "category_scatter"),
     "mode_counts": ("shipping", "mode_counts"),
     "mode_sales": ("shipping", "mode_sales"),
     "mode_avg_delay": ("shipping", "mode_avg_delay"),
@@ -199,7 +199,7 @@ def _formats(df: DataFrame) -> DataFrame:
 
 
 def _currency_totals(df: DataFrame) -> DataFrame:
-    by_product = report(df, "product", "category_scatter")
+    by_product = report(df, "overview", "category_scatter")
     return by_product.select(
         "category_name",
         fmt_currency("total_sales").alias("sales_text"),
@@ -228,11 +228,10 @@ def _kpi_cards(df: DataFrame) -> DataFrame:
 
 
 def _on_time_rate(df: DataFrame) -> DataFrame:
-    hits = F.count_if(on_time())
     return df.agg(
-        hits.alias("on_time_items"),
-        F.count("*").alias("order_items"),
-        F.round(F.try_divide(hits, F.count("*")) * 100, 2).alias("on_time_rate_pct"),
+        measure("on_time_items"),
+        measure("order_items"),
+        F.round(measure("on_time_pct"), 2).alias("on_time_rate_pct"),
     )
 
 
@@ -390,8 +389,8 @@ def queries() -> dict[str, Query]:
         registry[name] = _report(domain, table, rows)
     for name, (domain, table, value) in SHARES.items():
         registry[name] = _share(domain, table, value)
-    for question, *_ in findings.QUESTIONS:
-        registry[question] = _on_mart(lambda df, q=question: findings.answer(df, q))
+    for question in findings.QUESTIONS:
+        registry[question.name] = _on_mart(lambda df, q=question.name: findings.answer(df, q))
     return registry
 
 
