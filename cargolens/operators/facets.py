@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions.measures import percent
+from cargolens.operators.ordering import first_rows
 from cargolens.schema import EXPLORER_COLUMNS, FACETS
 
 Selection = Mapping[str, Sequence]
@@ -63,4 +64,4 @@ def explore(
     """The chosen columns; with ``limit``, the first rows in the order of those columns."""
     names = [c for c in (columns or EXPLORER_COLUMNS) if c in df.columns]
     shown = df.select(*names)
-    return shown if limit is None else shown.orderBy(*names).limit(limit)
+    return shown if limit is None else first_rows(shown, names, limit)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cargolens.functions.measures import percent
 from cargolens.operators.cleaning import parse_date
+from cargolens.operators.ordering import first_rows
 from cargolens.operators.quantiles import exact_quantiles
 from cargolens.schema import CATEGORICAL_COLUMNS
 from cargolens.sources.staging import with_known_size
@@ -155,9 +156,10 @@ def sample_rows(
 ) -> DataFrame:
     """``n`` rows drawn by the order of a seeded hash of ``keys``.
 
-    The draw depends on the data alone: partitioning and retries cannot change it. Each
-    task keeps at most ``n`` rows, so nothing is sorted as a whole.
+    The draw depends on the data alone: partitioning and retries cannot change it.
     """
     texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *texts))
-    return df.select(*columns, draw.alias("__draw")).orderBy("__draw", *columns).limit(n).drop("__draw")
+    drawn = df.select(*columns, F.md5(F.concat_ws("|", F.lit(str(seed)), *texts)).alias("__draw"))
+    return first_rows(
+        drawn, ["__draw", *columns], n, lead=F.substring("__draw", 1, 4)
+    ).drop("__draw")

@@ -39,7 +39,6 @@ RAW_COLUMNS = {
     "Late_delivery_risk": ("late_delivery_risk", "int"),
 }
 
-CANONICAL_TYPES = dict(RAW_COLUMNS.values())
 HEADER_OF = {canonical: header for header, (canonical, _) in RAW_COLUMNS.items()}
 
 # Columns the cleaning step removes when they are present.

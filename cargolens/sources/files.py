@@ -7,7 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.schema import CANONICAL_TYPES, HEADER_OF, NA_TOKENS, RAW_COLUMNS
+from cargolens.operators.ordering import first_rows
+from cargolens.schema import HEADER_OF, NA_TOKENS, RAW_COLUMNS
 
 
 def read_csv(
@@ -66,7 +67,7 @@ def write_csv(
     """
     out = df.select(*columns) if columns else df
     if limit is not None:
-        out = out.orderBy(*out.columns).limit(limit)
+        out = first_rows(out, out.columns, limit)
     if raw_headers:
         out = out.withColumnsRenamed({c: HEADER_OF[c] for c in out.columns if c in HEADER_OF})
     (
@@ -94,8 +95,3 @@ def write_mart(df: DataFrame, path: str, partition_by: Sequence[str] = ("order_y
         ).parquet(path)
     else:
         df.write.mode("errorifexists").parquet(path)
-
-
-def typed_columns(df: DataFrame) -> list[str]:
-    """The declared numeric columns that are present."""
-    return [c for c in df.columns if CANONICAL_TYPES.get(c, "string") != "string"]
