@@ -52,14 +52,15 @@ def _inside(values: DataFrame, spans: DataFrame) -> DataFrame:
     column and probability, which bounds the broadcast."""
     return values.join(
         F.broadcast(spans),
-        (F.col("column_name") == F.col("span_column"))
+        (F.col("column_no") == F.col("span_no"))
         & F.col("value").between(F.col("lo"), F.col("hi")),
     )
 
 
-def _as_spans(bins: DataFrame) -> DataFrame:
-    return bins.select(
-        F.col("column_name").alias("span_column"),
+def _open_spans(bins: DataFrame) -> DataFrame:
+    """Bins of more than one value, which the next step has to look into."""
+    return bins.where(F.col("bin_lo") < F.col("bin_hi")).select(
+        F.col("column_no").alias("span_no"),
         F.col("bin_lo").alias("lo"),
         F.col("bin_hi").alias("hi"),
         F.col("below").alias("start"),
@@ -68,6 +69,13 @@ def _as_spans(bins: DataFrame) -> DataFrame:
     )
 
 
+def _settled(bins: DataFrame) -> DataFrame:
+    """Bins of a single value: the value at their ranks is known."""
+    return bins.where(F.col("bin_lo") == F.col("bin_hi")).select(
+        "column_no", "last", F.explode("ranks").alias("rank"), F.col("bin_lo").alias("value")
+    )
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
@@ -76,15 +84,19 @@ def exact_quantiles(
     A quantile between two ranks is interpolated linearly. Columns without any value
     yield no rows.
     """
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    values = doubles.unpivot([], list(columns), "column_name", "value").where(
-        F.col("value").isNotNull() & ~F.isnan("value")
+    # Columns go by number on the way: joining and grouping by a number is far cheaper.
+    numbered = {str(number): name for number, name in enumerate(columns)}
+    doubles = df.select(*[F.col(name).cast("double").alias(no) for no, name in numbered.items()])
+    values = (
+        doubles.unpivot([], list(numbered), "column_no", "value")
+        .where(F.col("value").isNotNull() & ~F.isnan("value"))
+        .withColumn("column_no", F.coalesce(F.col("column_no").cast("int"), F.lit(0)))
     )
 
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    coarse = _histogram(values, _coarse_bin(), "column_name").withColumns(
+    coarse = _histogram(values, _coarse_bin(), "column_no").withColumns(
         {
-            "last": F.sum("n").over(W.partitionBy("column_name")) - 1,
+            "last": F.sum("n").over(W.partitionBy("column_no")) - 1,
             "start": F.lit(0).cast("bigint"),
         }
     )
@@ -92,15 +104,22 @@ def exact_quantiles(
     ranks = F.array_distinct(
         F.flatten(F.transform(positions, lambda at: F.array(F.floor(at), F.ceil(at))))
     )
-    coarse_spans = _as_spans(_spans_with_ranks(coarse.withColumn("ranks", ranks), "column_name"))
+    coarse = _spans_with_ranks(coarse.withColumn("ranks", ranks), "column_no")
 
-    span = ["column_name", "lo", "hi", "start", "last", "ranks"]
-    fine = _histogram(_inside(values, coarse_spans), _fine_bin(), *span)
-    fine_spans = _as_spans(_spans_with_ranks(fine, *span))
+    span = ["column_no", "lo", "hi", "start", "last", "ranks"]
+    fine = _histogram(_inside(values, _open_spans(coarse)), _fine_bin(), *span)
+    fine = _spans_with_ranks(fine, *span)
 
-    single = _inside(values, fine_spans).groupBy(*span, "value").agg(F.count("*").alias("n"))
-    at_rank = _spans_with_ranks(single.withColumn("bin", F.col("value")), *span).select(
-        "column_name", "last", F.explode("ranks").alias("rank"), "value"
+    single = _inside(values, _open_spans(fine)).groupBy(*span, "value").agg(
+        F.count("*").alias("n")
+    )
+    single = _spans_with_ranks(single.withColumn("bin", F.col("value")), *span)
+    at_rank = (
+        _settled(coarse)
+        .unionByName(_settled(fine))
+        .unionByName(
+            single.select("column_no", "last", F.explode("ranks").alias("rank"), "value")
+        )
     )
 
     ends = (
@@ -110,6 +129,9 @@ def exact_quantiles(
     )
     lower, upper = F.min("value"), F.max("value")
     share = F.first("position") - F.floor(F.first("position"))
-    return ends.groupBy("column_name", "probability").agg(
-        (lower + (upper - lower) * share).alias("value")
+    names = F.array(*[F.lit(name) for name in columns])
+    return (
+        ends.groupBy("column_no", "probability")
+        .agg((lower + (upper - lower) * share).alias("value"))
+        .select(names[F.col("column_no")].alias("column_name"), "probability", "value")
     )

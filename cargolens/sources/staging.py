@@ -11,6 +11,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,16 +20,17 @@ _paths: dict[tuple[str, str, str], str] = {}
 _lock = threading.RLock()
 
 
+@cache
+def _folder_for_tests() -> str:
+    return tempfile.mkdtemp(prefix="cargolens-")
+
+
 def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder; a temporary one only on a local master."""
+    """The cluster's shared folder; a temporary one only where the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="cargolens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    return None
+    return _folder_for_tests() if spark.sparkContext.master.startswith("local") else None
 
 
 def new_path(spark: SparkSession, name: str) -> str:

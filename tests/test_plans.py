@@ -79,3 +79,18 @@ def test_failed_write_is_not_reused(spark):
     with pytest.raises(RuntimeError):
         staging.staged(spark, "broken", "here", lambda path: (_ for _ in ()).throw(RuntimeError()), spark.read.parquet)
     assert not [k for k in staging._paths if k[1] == "broken"]
+
+
+class _Session:
+    """Just enough of a session to ask for its folder."""
+
+    def __init__(self, master, folder):
+        self.conf = {"spark.checkpoint.dir": folder}
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_only_a_local_master_gets_a_temporary_folder():
+    assert staging.shared_folder(_Session("yarn", "hdfs://shared")) == "hdfs://shared"
+    assert staging.shared_folder(_Session("yarn", None)) is None
+    local = staging.shared_folder(_Session("local[2]", None))
+    assert local and local == staging.shared_folder(_Session("local[2]", None))
