@@ -55,5 +55,5 @@ def test_three_scans_and_no_python(spark, raw):
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString()
     final = text.split("== Initial Plan ==")[0]
-    assert final.count("FileScan") == 3 and "ReusedExchange" in final
+    assert final.count("FileScan") <= 3 and "ReusedExchange" in final
     assert not [w for w in ("Python", "Cartesian", "NestedLoop") if w in text]
