@@ -14,8 +14,14 @@ _REQUIRED = ("sales", "profit")
 
 
 def parse_date(column: Column | str) -> Column:
-    """A date-time without zone, or null when the text is not one."""
-    return F.try_to_timestamp(column, F.lit(DATE_FORMAT)).cast("timestamp_ntz")
+    """A date-time without zone, or null when the text is not one.
+
+    The text is read as UTC and counted from an epoch without zone, so the hours that the
+    session's zone skips in spring are read as written.
+    """
+    instant = F.try_to_timestamp(F.concat(column, F.lit(" Z")), F.lit(f"{DATE_FORMAT} X"))
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", F.unix_seconds(instant), epoch)
 
 
 def _cleaned_columns(df: DataFrame) -> list[Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from cargolens import (
 )
 from cargolens.functions.text import WHITESPACE, fmt_currency, fmt_number, strip
 from cargolens.operators import deepdive, quality
+from cargolens.operators.cleaning import parse_date
 from cargolens.plans.findings import QUESTIONS
 
 
@@ -263,3 +266,20 @@ def test_profile(edge_raw):
     assert gaps["customer_lname"] == 1 and gaps["sales"] == 1 and "order_id" not in gaps
     uniques = {r.column_name: r.value_list for r in quality.categorical_uniques(edge_raw).collect()}
     assert uniques["market"] == "Africa | Europe | Pacific Asia"
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "America/Sao_Paulo"])
+def test_dates_do_not_depend_on_the_session_zone(spark, zone):
+    texts = ["3/12/2017 2:30", "10/16/2016 00:00", "11/5/2017 1:30", "2/30/2017 1:00",
+             " 1/1/2017 1:00", "1/1/2017 24:00", "12/31/1969 23:59", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = [r[0] for r in df.select(parse_date("t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [
+        datetime(2017, 3, 12, 2, 30), datetime(2016, 10, 16), datetime(2017, 11, 5, 1, 30),
+        None, None, None, datetime(1969, 12, 31, 23, 59), None,
+    ]

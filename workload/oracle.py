@@ -533,6 +533,11 @@ def oracle_sql() -> dict[str, str]:
             "ORDER BY mart.order_id, mart.product_name, mart.sales, mart.profit, order_year "
             "NULLS FIRST, shipping_delay_days, is_late LIMIT 5"
         ),
+        "preview_raw_rows": _raw(
+            "SELECT order_id, product_name, CAST(profit AS DOUBLE) AS profit, "
+            "CAST(sales AS DOUBLE) AS sales, order_date_raw FROM raw ORDER BY raw.order_id, "
+            "raw.product_name, raw.profit, raw.sales NULLS FIRST, order_date_raw LIMIT 5"
+        ),
         "clean_dates": _mart(
             "SELECT order_id, product_name, CAST(sales AS DOUBLE) AS sales, "
             f"{shown_ts} AS order_ts, {TIME.format('shipping_ts')} AS shipping_ts FROM cleaned"
