@@ -24,7 +24,7 @@ def parse_date(column: Column | str) -> Column:
     return F.timestamp_add("SECOND", F.unix_seconds(instant), epoch)
 
 
-def _cleaned_columns(df: DataFrame) -> list[Column]:
+def _cleaned_columns(df: DataFrame, strip_text: bool = True) -> list[Column]:
     columns = []
     for name, kind in df.dtypes:
         if name in DROPPED_COLUMNS:
@@ -33,7 +33,7 @@ def _cleaned_columns(df: DataFrame) -> list[Column]:
         if name in _DATES:
             columns.append(parse_date(name).alias(_DATES[name]))
             continue
-        if kind == "string":
+        if kind == "string" and strip_text:
             value = strip(name)
         elif kind in ("double", "float"):
             value = F.when(~F.isnan(name), value)
@@ -61,8 +61,11 @@ def clean(raw: DataFrame) -> DataFrame:
 
 
 def clean_summary(raw: DataFrame) -> DataFrame:
-    """Rows and columns before and after cleaning, and the gaps left, in one pass."""
-    tidy = raw.select(*_cleaned_columns(raw))
+    """Rows and columns before and after cleaning, and the gaps left, in one pass.
+
+    Stripping text makes no cell missing, so it is left out here.
+    """
+    tidy = raw.select(*_cleaned_columns(raw, strip_text=False))
     kept = F.count_if(_complete())
     gaps = [F.count_if(_complete() & F.col(c).isNull()) for c in tidy.columns]
     missing = gaps[0]

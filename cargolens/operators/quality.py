@@ -14,7 +14,7 @@ from cargolens.operators.cleaning import parse_date
 from cargolens.operators.ordering import first_rows
 from cargolens.operators.quantiles import exact_quantiles
 from cargolens.schema import CATEGORICAL_COLUMNS
-from cargolens.sources.staging import with_known_size
+from cargolens.sources.staging import written_out
 
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
 
@@ -120,7 +120,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         hashed.groupBy("row_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("row_hash")
     )
     copies = (
-        hashed.join(with_known_size(repeated, "repeated-hashes"), "row_hash", "left_semi")
+        hashed.join(written_out(repeated, "repeated-hashes"), "row_hash", "left_semi")
         .groupBy(*df.columns)
         .agg((F.count("*") - 1).alias("extra"))
     )

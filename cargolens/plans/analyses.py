@@ -8,16 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.operators.cleaning import clean_summary
-from cargolens.operators.features import prepare
+from cargolens.operators.cleaning import clean, clean_summary
+from cargolens.operators.features import engineer_features
 from cargolens.operators.reports import analysis
 from cargolens.sources.files import read_csv
+from cargolens.sources.staging import written_out
 
 
 def load_and_prepare(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
-    """The prepared table of a CSV file, and the one-row cleaning summary."""
+    """The prepared table of CSV files, and the one-row cleaning summary.
+
+    The cleaned rows are written out once, so that reports do not parse text again.
+    ``options`` go to ``read_csv``.
+    """
     raw = read_csv(spark, path, **options)
-    return prepare(raw), clean_summary(raw)
+    cleaned = written_out(clean(raw), "cleaned")
+    return engineer_features(cleaned), clean_summary(raw)
 
 
 def sales_analysis(df: DataFrame) -> dict[str, DataFrame]:

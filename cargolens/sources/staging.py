@@ -78,12 +78,13 @@ def stage(spark: SparkSession, name: str, source: str, build: Callable[[], DataF
     )
 
 
-def with_known_size(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written out and read back, so the optimizer plans with its true size.
+def written_out(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back. Runs a job.
 
-    The size of an aggregate is unknown until it has run, and a join with it would
-    shuffle the large side first. Read back from files, it is broadcast when it is below
-    the session's broadcast threshold and joined by shuffle when it is not. Runs a job.
+    Later plans start from the files: what led to them is not computed again, and the
+    optimizer knows their size. The size of an aggregate, say, is unknown until it has
+    run, and a join with it would shuffle the large side first; read back, it is
+    broadcast when it is below the session's threshold and joined by shuffle if not.
     """
     spark = df.sparkSession
     if shared_folder(spark) is None:
