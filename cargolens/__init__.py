@@ -5,6 +5,7 @@ from cargolens.operators.cube import metrics_cube
 from cargolens.operators.facets import explore, facet_filter, facet_options, filter_coverage
 from cargolens.operators.features import engineer_features, prepare
 from cargolens.operators.reports import report, share_of_total
+from cargolens.operators.summary import summarize, summary_report
 from cargolens.plans.analyses import (
     customer_analysis,
     delivery_analysis,
@@ -51,6 +52,8 @@ __all__ = [
     "sales_analysis",
     "share_of_total",
     "shipping_analysis",
+    "summarize",
+    "summary_report",
     "write_csv",
     "write_mart",
 ]

@@ -26,8 +26,8 @@ def _coarse_bin() -> Column:
 
 def _fine_bin() -> Column:
     """Equal steps between the smallest and the largest value of the coarse bin."""
-    share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    return F.when(F.col("hi") > F.col("lo"), F.floor(share * _FINE_BINS)).otherwise(F.lit(0))
+    share = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
+    return F.floor(share * _FINE_BINS)
 
 
 def _histogram(values: DataFrame, bin_number: Column, *within: str) -> DataFrame:

@@ -133,22 +133,27 @@ def sort_report(df: DataFrame, spec: Report) -> DataFrame:
     return df if spec.limit is None else df.limit(spec.limit)
 
 
-def run_report(df: DataFrame, spec: Report) -> DataFrame:
-    grouped = group_report(df, spec.dims, [measure(m) for m in spec.measures])
+def run_report(
+    df: DataFrame, spec: Report, aggregate: Callable[[str], Column] = measure
+) -> DataFrame:
+    grouped = group_report(df, spec.dims, [aggregate(m) for m in spec.measures])
     result = sort_report(grouped, spec)
     return result if spec.finish is None else spec.finish(result)
 
 
-def report(
-    df: DataFrame, domain: str, name: str, n: int | None = None, order: str | None = None
-) -> DataFrame:
-    """One named report, optionally with another order or another number of rows."""
-    spec = DOMAINS[domain][name]
+def adjusted(spec: Report, n: int | None, order: str | None) -> Report:
     if order is not None:
         spec = replace(spec, order=order)
     if n is not None:
         spec = replace(spec, limit=n if spec.limit is None else min(n, spec.limit))
-    return run_report(df, spec)
+    return spec
+
+
+def report(
+    df: DataFrame, domain: str, name: str, n: int | None = None, order: str | None = None
+) -> DataFrame:
+    """One named report, optionally with another order or another number of rows."""
+    return run_report(df, adjusted(DOMAINS[domain][name], n, order))
 
 
 def analysis(df: DataFrame, domain: str) -> dict[str, DataFrame]:

@@ -70,22 +70,27 @@ def _expand(row: DataFrame, entries: list[Column], fields: tuple[str, ...]) -> D
 
 def business_answers(df: DataFrame) -> DataFrame:
     """Rows ``(question_no, question, wording, answer_text, answer_value)``."""
+    return business_answers_of(facts(df))
+
+
+def business_answers_of(known: DataFrame) -> DataFrame:
+    """The answers from a facts row."""
     no_text, no_value = F.lit(None).cast("string"), F.lit(None).cast("double")
     entries = []
     for number, question in enumerate(QUESTIONS, start=1):
-        known = F.col(question.fact)
+        fact = F.col(question.fact)
         entries.append(
             F.struct(
                 F.lit(number).alias("question_no"),
                 F.lit(question.name).alias("question"),
                 F.lit(question.wording).alias("wording"),
-                (known if question.dimension else no_text).alias("answer_text"),
-                (no_value if question.dimension else known).alias("answer_value"),
+                (fact if question.dimension else no_text).alias("answer_text"),
+                (no_value if question.dimension else fact).alias("answer_value"),
                 F.lit(True).alias("applies"),
             )
         )
     fields = ("question_no", "question", "wording", "answer_text", "answer_value")
-    return _expand(facts(df), entries, fields)
+    return _expand(known, entries, fields)
 
 
 def answer(df: DataFrame, name: str) -> DataFrame:
@@ -104,6 +109,11 @@ def answer(df: DataFrame, name: str) -> DataFrame:
 
 def insights(df: DataFrame) -> DataFrame:
     """Rows ``(insight_no, topic, entity, value, text)``; one placeholder when empty."""
+    return insights_of(facts(df))
+
+
+def insights_of(known: DataFrame) -> DataFrame:
+    """The insights from a facts row."""
     some = F.col("order_items") > 0
     nobody = F.lit(None).cast("string")
 
@@ -159,7 +169,7 @@ def insights(df: DataFrame) -> DataFrame:
     entries.append(
         entry(0, "empty", nobody, no_value, F.lit("The selection holds no order items."), ~some)
     )
-    return _expand(facts(df), entries, ("insight_no", "topic", "entity", "value", "text"))
+    return _expand(known, entries, ("insight_no", "topic", "entity", "value", "text"))
 
 
 def recommendations(
@@ -169,6 +179,16 @@ def recommendations(
     margin_floor: float = MARGIN_FLOOR,
 ) -> DataFrame:
     """The rules that fire, in rule order; one placeholder when the input is empty."""
+    return recommendations_of(facts(df), late_rate_limit, discount_limit, margin_floor)
+
+
+def recommendations_of(
+    known: DataFrame,
+    late_rate_limit: float = LATE_RATE_LIMIT,
+    discount_limit: float = DISCOUNT_LIMIT,
+    margin_floor: float = MARGIN_FLOOR,
+) -> DataFrame:
+    """The recommendations from a facts row."""
     some = F.col("order_items") > 0
     nobody = F.lit(None).cast("string")
     often_late = F.col("late_delivery_rate") > late_rate_limit
@@ -235,4 +255,4 @@ def recommendations(
     fields = (
         "rule_id", "finding", "recommendation", "priority", "priority_rank", "entity", "value",
     )
-    return _expand(facts(df), entries, fields)
+    return _expand(known, entries, fields)

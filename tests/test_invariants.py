@@ -5,9 +5,23 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from cargolens import facet_filter, kpis, metrics_cube, report, share_of_total
+from cargolens import (
+    business_answers,
+    facet_filter,
+    insights,
+    kpis,
+    metrics_cube,
+    recommendations,
+    report,
+    share_of_total,
+    summarize,
+    summary_report,
+)
 from cargolens.operators.quality import duplicate_rows, sample_rows
 from cargolens.operators.reports import DOMAINS
+from cargolens.operators.summary import answers
+from cargolens.plans.facts import facts_of_summary
+from cargolens.plans.findings import business_answers_of, insights_of, recommendations_of
 
 SELECTION = {"market": ["ASIA", "EUROPE"], "order_year": [1997, 1998]}
 ALIASES = [
@@ -100,3 +114,33 @@ def test_sample_depends_on_data_alone(prepared):
     other = sample_rows(prepared, ["discount_rate", "profit"], keys, n=50, seed=43)
     assert rows(other) != rows(one)
     assert sample_rows(prepared, ["profit"], keys, n=10**6).count() == prepared.count()
+
+
+@pytest.mark.parametrize("selection", [{}, SELECTION, {"market": ["NOWHERE"]}])
+def test_summary_reports_equal_reports(prepared, selection):
+    groups = facet_filter(summarize(prepared).cache(), selection)
+    items = facet_filter(prepared, selection)
+    checked = 0
+    for domain, reports in DOMAINS.items():
+        for name, spec in reports.items():
+            if not answers(groups, spec):
+                continue
+            got, want = rows(summary_report(groups, domain, name)), rows(report(items, domain, name))
+            assert [r[: len(spec.dims)] for r in got] == [r[: len(spec.dims)] for r in want]
+            for one, other in zip(got, want):
+                assert one[len(spec.dims):] == pytest.approx(other[len(spec.dims):], rel=1e-9)
+            checked += 1
+    assert checked > 25
+
+
+def test_summary_refuses_what_it_cannot_answer(prepared):
+    for domain, name in (("product", "top_products_by_sales"), ("geo", "market_order_count")):
+        with pytest.raises(ValueError):
+            summary_report(summarize(prepared), domain, name)
+
+
+def test_findings_of_a_summary(edge):
+    known = facts_of_summary(summarize(edge))
+    assert rows(insights_of(known)) == rows(insights(edge))
+    assert rows(recommendations_of(known)) == rows(recommendations(edge))
+    assert rows(business_answers_of(known)) == rows(business_answers(edge))

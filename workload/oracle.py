@@ -661,6 +661,10 @@ def oracle_sql() -> dict[str, str]:
         "filtered_insights": _insights("chosen", FILTERED),
         "filtered_recommendations": _recommendations("chosen", FILTERED),
         "empty_insights": _insights("chosen", NOWHERE),
+        "summary_late_by_category": _mart(_grouped("category_name", "late_rate_pct")),
+        "summary_filtered_sales_by_region": f"WITH {MART}{FILTERED}\n"
+        + _grouped("order_region", "total_sales", source="chosen"),
+        "summary_insights": _insights("mart"),
         "dataset_shape": _raw(
             f"SELECT count(*) AS row_count, CAST({len(RAW_TYPES)} AS INTEGER) AS column_count FROM raw"
         ),

@@ -21,7 +21,9 @@ from cargolens.operators.cube import metrics_cube
 from cargolens.operators.facets import explore, facet_filter, facet_options, filter_coverage
 from cargolens.operators.features import prepare
 from cargolens.operators.reports import loss_flag, report, share_of_total
+from cargolens.operators.summary import summarize, summary_report
 from cargolens.plans import findings
+from cargolens.plans.facts import facts_of_summary
 from cargolens.plans.kpis import distinct_count, kpis, kpis_long
 from cargolens.schema import FEATURE_COLUMNS
 from cargolens.sources.files import read_csv, write_csv
@@ -56,6 +58,10 @@ def mart(spark: SparkSession, folder: str) -> DataFrame:
     return stage(spark, "mart", folder, lambda: prepare(raw_items(spark, folder)))
 
 
+def summary(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(spark, "summary", folder, lambda: summarize(mart(spark, folder)))
+
+
 def comparable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Types and precision that both engines share."""
     columns = []
@@ -81,6 +87,10 @@ def _on_raw(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: comparable(build(raw_items(spark, folder)))
 
 
+def _on_summary(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: comparable(build(summary(spark, folder)))
+
+
 # Query name -> (domain, report).
 REPORTS = {
     "sales_monthly_trend": ("sales", "monthly_trend"),
@@ -320,6 +330,16 @@ def queries() -> dict[str, Query]:
         "empty_insights": _on_mart(
             lambda df: findings.insights(facet_filter(df, {"market": ["NOWHERE"]}))
         ),
+        # the same from a stored summary of the facets
+        "summary_late_by_category": _on_summary(
+            lambda groups: summary_report(groups, "delivery", "late_by_category")
+        ),
+        "summary_filtered_sales_by_region": _on_summary(
+            lambda groups: summary_report(facet_filter(groups, SELECTION), "sales", "by_region")
+        ),
+        "summary_insights": _on_summary(
+            lambda groups: findings.insights_of(facts_of_summary(groups))
+        ),
         # quality
         "dataset_shape": _on_raw(quality.dataset_shape),
         "column_types": _on_raw(quality.column_types),
