@@ -72,9 +72,9 @@ def comparable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
         elif kind in ("double", "float"):
             value = F.round(value.cast("double"), digits)
         elif kind.startswith("timestamp"):
-            value = F.date_format(value, "yyyy-MM-dd HH:mm")
+            value = F.substring(value.cast("string"), 1, 16)
         elif kind == "date":
-            value = F.date_format(value, "yyyy-MM-dd")
+            value = value.cast("string")
         columns.append(value.alias(name))
     return df.select(*columns)
 
