@@ -18,8 +18,15 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_files(*write_token_files(table(spark, folder, "documents")))
 
 
+def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces in sequences of at most 2048 tokens."""
+    from cargolens.llm.packing import pack, token_pieces
+
+    return pack(token_pieces(table(spark, folder, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_files,)}
+    return {f.__name__: f for f in (op7_token_files, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
