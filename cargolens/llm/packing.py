@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +35,9 @@ from cargolens.llm.tokens import encoder, tokenizer_path
 CAPACITY = 2048
 #: Groups of equal cardinality that the large lengths are dealt into.
 GROUPS = 40
-#: Lengths up to this share of the capacity are small.
-SMALL = 0.2
+#: Lengths up to this share of the capacity are small. Each is tried, and the plan with the
+#: fewest sequences is taken: rounding up pays only where few small pieces can fill the rest.
+SMALL = (0.2, 0.35, 0.5)
 
 
 @dataclass
@@ -278,7 +279,9 @@ def token_pieces(
     return saved(docs.select("doc_id", "text").mapInArrow(cut, schema), "token-pieces")
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, k: int = GROUPS, small: float = SMALL) -> DataFrame:
+def pack(
+    found: DataFrame, capacity: int = CAPACITY, k: int = GROUPS, small: Sequence[float] = SMALL
+) -> DataFrame:
     """``found`` (pieces with length, block and rank) with sequence_id and offset.
 
     The driver gets one count for each length, at most ``capacity`` of them, and sends
@@ -291,7 +294,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, k: int = GROUPS, small: flo
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in by_block.groupBy("length").agg(F.sum("n")).collect():
         counts[length] = n
-    plan = Plan(counts, capacity, k, small)
+    plan = min((Plan(counts, capacity, k, x) for x in small), key=lambda x: x.sequences)
     runs = sorted(plan.runs, key=lambda r: (r.length, r.rank))
     lengths = np.array([r.length for r in runs], np.int64)
     table = np.array([(r.rank, r.first, r.each, r.offset) for r in runs], np.int64).reshape(-1, 4)
