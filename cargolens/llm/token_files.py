@@ -139,7 +139,7 @@ def write_token_files(
     def part(batches):
         return _write_part(batches, folder, tokenizer, seq_len, end_id)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     parts = saved(ordered.mapInArrow(part, "part long, n_docs long, n_tokens long"), "token-parts")
     return folder, parts
 
@@ -192,7 +192,7 @@ def read_token_files(folder: str, parts: DataFrame) -> DataFrame:
     """
     before = F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     based = parts.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    files = based.repartition(F.col("part"))
+    files = based.repartitionByRange(max(1, parts.count()), "part")
 
     def read(batches):
         return _read_part(batches, folder)
