@@ -11,6 +11,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents."""
+    from cargolens.llm.toxicity import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents."""
+    from cargolens.llm.quality import quality
+
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all documents, written to Arrow files and read back."""
     from cargolens.llm.token_files import read_token_files, write_token_files
@@ -26,7 +40,7 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_files, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op4_toxicity, op6_quality, op7_token_files, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
