@@ -32,6 +32,13 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_files(*write_token_files(table(spark, folder, "documents")))
 
 
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate documents by their shingles."""
+    from cargolens.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces in sequences of at most 2048 tokens."""
     from cargolens.llm.packing import pack, token_pieces
@@ -40,7 +47,7 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_toxicity, op6_quality, op7_token_files, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op4_toxicity, op6_quality, op7_token_files, op8_near_duplicates, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
