@@ -11,6 +11,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in all documents."""
+    from cargolens.llm.decontamination import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of all documents."""
     from cargolens.llm.toxicity import toxicity
@@ -47,7 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_toxicity, op6_quality, op7_token_files, op8_near_duplicates, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op3_decontamination, op4_toxicity, op6_quality, op7_token_files, op8_near_duplicates, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
