@@ -25,6 +25,13 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices in all documents."""
+    from cargolens.llm.licenses import licenses
+
+    return licenses(table(spark, folder, "documents")).drop("places")
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of all documents."""
     from cargolens.llm.quality import quality
@@ -54,8 +61,10 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_toxicity, op6_quality, op7_token_files, op8_near_duplicates, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op3_decontamination, op4_toxicity, op5_licenses, op6_quality, op7_token_files, op8_near_duplicates, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from cargolens.llm import licenses
+
+    return {"op5_licenses": licenses.sql()}
