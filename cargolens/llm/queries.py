@@ -53,6 +53,13 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents."""
+    from cargolens.llm.secrets import secrets
+
+    return secrets(table(spark, folder, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces in sequences of at most 2048 tokens."""
     from cargolens.llm.packing import pack, token_pieces
@@ -61,7 +68,7 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_toxicity, op5_licenses, op6_quality, op7_token_files, op8_near_duplicates, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op3_decontamination, op4_toxicity, op5_licenses, op6_quality, op7_token_files, op8_near_duplicates, op9_secrets, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
