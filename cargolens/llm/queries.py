@@ -67,6 +67,13 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
 FROM escaped GROUP BY conv_id"""
 
 
+def op2_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate vectors among all embeddings."""
+    from cargolens.llm.neighbours import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items found in all documents."""
     from cargolens.llm.decontamination import contaminated
@@ -124,7 +131,7 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_decontamination, op4_toxicity, op5_licenses, op6_quality, op7_token_files, op8_near_duplicates, op9_secrets, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_chat_format, op2_near_vectors, op3_decontamination, op4_toxicity, op5_licenses, op6_quality, op7_token_files, op8_near_duplicates, op9_secrets, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
