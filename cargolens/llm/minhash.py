@@ -251,3 +251,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     out = signed.select("doc_id", *print_of).join(named, print_of, "left")
     component = F.coalesce("named", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """The documents, all columns, but of each component only the one that is kept.
+
+    Rows that repeat a doc_id are one document, of which one row stays. Rows without doc_id
+    and texts without words stay.
+    """
+    found = near_duplicates(docs, words, least).where(F.col("doc_id").isNotNull())
+    by_id = saved(
+        found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where(~F.col("kept") | (F.col("n") > 1)),
+        "not-as-they-are",
+    )
+    repeated = docs.join(by_id.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(by_id.select("doc_id"), "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)

@@ -131,7 +131,21 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_near_vectors, op3_decontamination, op4_toxicity, op5_licenses, op6_quality, op7_token_files, op8_near_duplicates, op9_secrets, op10_best_fit_packing)}
+    from corpus_pipeline import run
+
+    numbered = (
+        op1_chat_format,
+        op2_near_vectors,
+        op3_decontamination,
+        op4_toxicity,
+        op5_licenses,
+        op6_quality,
+        op7_token_files,
+        op8_near_duplicates,
+        op9_secrets,
+        op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in numbered} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
