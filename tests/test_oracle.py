@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.conftest import TABLES
 from workload.compare import differences, open_oracle
+from workload.oracle import oracle_sql
+from workload.queries import queries
 
 STATEMENTS = oracle_sql()
 
