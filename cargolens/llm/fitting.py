@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from cargolens.llm.textbytes import pieces
 
+#: What is predicted, beside columns of the caller's own naming.
+KEPT = "__predicted"
+
 
 def id_remainder(divisor: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as the empty text."""
@@ -78,13 +81,13 @@ def fitted(rows: DataFrame, fit: Callable):
 
 
 def scored(docs: DataFrame, score: Callable, held_out: Column, columns: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score and predicted; with ``keep`` all of ``docs`` and ``predicted``.
+    """doc_id, held_out, score and predicted; with ``keep`` all of ``docs`` and column KEPT.
 
     ``score(data, offsets, *columns)`` returns a number from 0 to 1 for every text.
     """
     fields = docs.schema.fields if keep else [docs.schema["doc_id"]]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
-    made = ["predicted int"] if keep else ["held_out boolean", "score double", "predicted int"]
+    made = [f"{KEPT} int"] if keep else ["held_out boolean", "score double", "predicted int"]
     schema = ", ".join([*kinds, *made])
     own = [f.name for f in fields]
     names = [m.split()[0] for m in made]
@@ -96,7 +99,8 @@ def scored(docs: DataFrame, score: Callable, held_out: Column, columns: tuple[st
                 more = [batch.column(c).slice(first, stop - first) for c in columns]
                 values.append(score(data, offsets, *more))
             value = np.concatenate(values)
-            new = {"score": pa.array(value), "predicted": pa.array((value >= 0.5).astype(np.int32))}
+            predicted = pa.array((value >= 0.5).astype(np.int32))
+            new = {"score": pa.array(value), "predicted": predicted, KEPT: predicted}
             if not keep:
                 new["held_out"] = batch.column("__held_out")
             yield pa.RecordBatch.from_arrays(

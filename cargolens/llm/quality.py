@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.fitting import featured, fitted, id_remainder, labelled_ids, scored
+from cargolens.llm.fitting import KEPT, featured, fitted, id_remainder, labelled_ids, scored
 from cargolens.llm.textfeatures import STATISTICS, hashed_words, structure
 from cargolens.llm.toxicity import sigmoid
 
@@ -26,6 +26,8 @@ STEPS = 24
 #: Labelled texts that the model is fitted on, at most; all others are scored only.
 FIT_ROWS = 12_000
 
+#: The length that the table states, beside columns of the caller's own naming.
+STATED = "__stated"
 _FIELDS = len(STATISTICS) + 1
 SIZE = (1 << WORD_BITS) + _FIELDS * STEPS
 
@@ -126,12 +128,12 @@ def quality_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
     """The machine fitted on at most ``fit_rows`` labelled documents, chosen by a hash of the
     id among those whose crc32 of the id leaves another remainder by 3 than 1."""
     chosen = labelled_ids(labels, "quality", id_remainder(3) != 1, fit_rows)
-    return fitted(featured(_stated(docs), chosen, extract, ("n_chars",)), fit_machine)
+    return fitted(featured(_stated(docs), chosen, extract, (STATED,)), fit_machine)
 
 
 def _stated(docs: DataFrame) -> DataFrame:
     kind = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
-    return docs.withColumn("n_chars", kind.cast("long"))
+    return docs.withColumn(STATED, kind.cast("long"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -142,11 +144,11 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
     rows are scored each; other columns are ignored. Empty ``docs`` give an empty result.
     """
     model = quality_model(docs, labels, fit_rows)
-    return scored(_stated(docs), scorer(model), id_remainder(3) == 1, ("n_chars",))
+    return scored(_stated(docs), scorer(model), id_remainder(3) == 1, (STATED,))
 
 
 def of_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents, all columns, that the machine does not reject."""
     model = quality_model(docs, labels, fit_rows)
-    found = scored(_stated(docs), scorer(model), id_remainder(3) == 1, ("n_chars",), keep=True)
-    return found.where("predicted = 1").select(*docs.columns)
+    found = scored(_stated(docs), scorer(model), id_remainder(3) == 1, (STATED,), keep=True)
+    return found.where(F.col(KEPT) == 1).select(*docs.columns)

@@ -188,7 +188,8 @@ def redacted(docs: DataFrame, labelled: DataFrame | None = None, by: str = "[SEC
 
     Overlapping spans become one replacement. Texts without a secret stay as they are.
     """
-    found = with_runs(docs)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = with_runs(whole)
     if labelled is None:
         labelled = samples(saved(found.select("base", "runs"), "runs"))
     marked = with_spans(found, log_ratios(labelled)).drop("base")
@@ -211,8 +212,9 @@ def redacted(docs: DataFrame, labelled: DataFrame | None = None, by: str = "[SEC
             F.substring(F.col("text"), (have["at"] + 1).cast("int"), F.length("text")),
         ),
     )
-    out = marked.withColumn("text", F.when(F.size("spans") > 0, rest).otherwise(F.col("text")))
+    changed = F.size("spans") > 0
+    new = {"text": F.when(changed, rest).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length(rest).cast(kind)).otherwise(F.col("row").getField("n_chars"))
+    return marked.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
