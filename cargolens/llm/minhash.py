@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm.components import components
@@ -25,14 +25,18 @@ from cargolens.llm.textbytes import lowered, mixed, pieces, runs, span_hashes
 
 CHUNKS, WIDTH = 12, 4
 VALUES = CHUNKS * WIDTH
-#: Bits of the sketch that is compared before sets are: one bit of each of 128 minima.
-SKETCH = 128
-#: More differing bits than this have less than one pair of a million at 0.85 (mean 9.6).
-SKETCH_DISTANCE = 27
+#: Bits of the sketch that is compared before sets are: one bit of each of 512 minima.
+SKETCH = 512
+#: At 0.85, 38.4 bits differ on average, and more than 70 in less than one pair of a million.
+SKETCH_DISTANCE = 70
 WORDS = 5
 #: Similarity in hundredths.
 LEAST = 85
 
+#: Columns of the sketch, 64 bits each, and of the signature, one chunk of four values each.
+SKETCHES = [f"bits_{j}" for j in range(SKETCH // 64)]
+LANES = [f"chunk_{j}" for j in range(CHUNKS)]
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _rng = np.random.default_rng(8)
@@ -94,6 +98,7 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int):
                     if j != out:
                         key = mixed(key ^ chunk[:, :, j])
                 index[:, :, out] = key
+            lanes = values.view("<i8")
             ends = pa.array(np.arange(n + 1, dtype=np.int32) * VALUES)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -101,8 +106,8 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int):
                     "n_shingles": pa.array(count, pa.int64()),
                     "set_one": one.view(np.int64),
                     "set_two": two.view(np.int64),
-                    "bits_one": packed[:, 0].copy(),
-                    "bits_two": packed[:, 1].copy(),
+                    **{c: packed[:, j].copy() for j, c in enumerate(SKETCHES)},
+                    **{c: lanes[:, j].copy() for j, c in enumerate(LANES)},
                     "index": pa.ListArray.from_arrays(ends, pa.array(index.reshape(-1).view(np.int64))),
                 }
             )
@@ -114,10 +119,8 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def sign(batches):
         return _sign(batches, words)
 
-    schema = (
-        "doc_id long, n_shingles long, set_one long, set_two long, bits_one long, bits_two long, "
-        "index array<long>"
-    )
+    longs = ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "set_one", "set_two", *SKETCHES, *LANES))
+    schema = f"{longs}, index array<long>"
     return saved(docs.select("doc_id", "text").mapInArrow(sign, schema), "signatures")
 
 
@@ -147,81 +150,106 @@ def _confirm(batches: Iterator[pa.RecordBatch], least: int):
         yield batch.select(["a", "b"]).filter(pa.array(linked))
 
 
+def _apart() -> Column:
+    """Differing bits of the sketches of ``a`` and ``b``."""
+    return sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCHES)
+
+
+def _similar_size(least: int) -> Column:
+    a, b = F.col("n_shingles_a"), F.col("n_shingles_b")
+    return (100 * b >= least * a) & (100 * a >= least * b)
+
+
+def _first_shared() -> Column:
+    """Whether ``key`` is the first of the keys that ``a`` and ``b`` share.
+
+    A chunk with at least three equal values of four has a shared key: the one that leaves
+    the different value out, or the first one if all are equal.
+    """
+    first = F.lit(-1)
+    for j in reversed(range(CHUNKS)):
+        x = F.col(f"{LANES[j]}_a").bitwiseXOR(F.col(f"{LANES[j]}_b"))
+        equal = [F.shiftright(x, 16 * k).bitwiseAND(F.lit(65535)) == 0 for k in range(WIDTH)]
+        out = F.when(~equal[0], 0).when(~equal[1], 1).when(~equal[2], 2).when(~equal[3], 3).otherwise(0)
+        shared = sum(e.cast("int") for e in equal) >= WIDTH - 1
+        first = F.when(shared, j * WIDTH + out).otherwise(first)
+    return first == F.col("number_a")
+
+
 class Candidates:
-    """Pairs of different sets that agree on a key, tested once, round by round.
+    """Pairs of different sets that agree on a key.
 
-    Where thousands of near copies share a key, comparing each with one of them links them
-    all; only members that are still apart are compared with others. So the pairs stay in
-    proportion to the members, and no link between components is missed.
+    Where thousands of near copies share a key, comparing each with the one among them that
+    shares most keys with others links nearly all that are linked; only members that are
+    still apart are compared with each other, and a pair only at the first of its keys.
     """
 
     def __init__(self, docs: DataFrame, sets: DataFrame, words: int, least: int):
-        self._docs, self._words, self._least = docs, words, least
-        self._info = sets.select("doc_id", "n_shingles", "bits_one", "bits_two")
-        self._keys = sets.select("doc_id", F.explode("index").alias("key"))
-        self._links = None
-
-    def _close(self, pairs: DataFrame) -> DataFrame:
-        """Pairs with sizes and sketches that a similar pair has."""
-        for side in "ab":
-            named = {c: f"{c}_{side}" for c in self._info.columns if c != "doc_id"}
-            info = self._info.withColumnsRenamed(named | {"doc_id": side})
-            pairs = pairs.join(info, side)
-        apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("bits_one", "bits_two"))
-        small, large = (f("n_shingles_a", "n_shingles_b") for f in (F.least, F.greatest))
-        return pairs.where((100 * small >= self._least * large) & (apart <= SKETCH_DISTANCE)).select("a", "b")
-
-    def _linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of the close ``pairs`` whose full sets are similar enough, written out."""
-        pairs = saved(pairs, "pairs")
-        words, least = self._words, self._least
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = self._docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        members = saved(texts.mapInArrow(lambda x: _sets(x, words), "doc_id long, members binary"), "sets")
+        self._least = least
+        keys = sets.select("doc_id", F.posexplode("index").alias("number", "key"))
+        common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        self._shared = saved(keys.join(common, "key"), "shared-keys")
+        degree = self._shared.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("degree"))
+        # hints keep the plan the same at every size: these sides may be as large as any
+        own = sets.drop("index", "set_one", "set_two").join(degree.hint("merge"), "doc_id")
+        self._info = saved(own, "candidates")
+        texts = docs.join(self._info.select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        self._members = saved(texts.mapInArrow(lambda x: _sets(x, words), "doc_id long, members binary"), "sets")
+        self._links: DataFrame | None = None
+
+    def _with(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
         for side in "ab":
-            pairs = pairs.join(members.withColumnsRenamed({"doc_id": side, "members": f"members_{side}"}), side)
-        return saved(pairs.mapInArrow(lambda x: _confirm(x, least), "a long, b long"), "links")
+            named = {c: f"{c}_{side}" for c in info.columns if c != "doc_id"}
+            pairs = pairs.join(info.withColumnsRenamed(named | {"doc_id": side}), side)
+        return pairs
 
     def _add(self, pairs: DataFrame) -> None:
-        links = self._linked(self._close(pairs.distinct()))
+        """Take those of the close ``pairs`` as links whose full sets are similar enough."""
+        least = self._least
+        links = saved(
+            self._with(pairs, self._members).mapInArrow(lambda x: _confirm(x, least), "a long, b long"), "links"
+        )
         self._links = links if self._links is None else self._links.unionByName(links)
 
-    def components(self) -> DataFrame:
-        """(id, component) of all documents that are linked to another."""
-        keys = self._keys
-        centres = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-        shared = saved(keys.join(centres.drop("n"), "key"), "shared-keys")
-        self._add(shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b")))
-        for last in (False, True):
-            found = components(self._links)
-            known = shared.join(found.withColumnsRenamed({"id": "doc_id"}), "doc_id", "left")
-            known = known.withColumn("component", F.coalesce("component", "doc_id"))
-            mixed_keys = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("doc_id", "component").alias("other"))
-            mixed_keys = mixed_keys.where("low < high")
-            if not last:
-                pairs = known.join(mixed_keys, "key").where("component <> high")
-                self._add(pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")))
-            else:
-                apart = known.join(mixed_keys, "key", "left_semi").join(self._info, "doc_id")
-                pairs = self._apart(saved(apart, "apart"))
-                self._add(pairs)
-        return components(self._links)
-
-    def _apart(self, known: DataFrame) -> DataFrame:
-        """All close pairs on a key whose documents are in different components so far."""
-        names = ["doc_id", "component", "n_shingles", "bits_one", "bits_two"]
-        one, two = (known.select("key", *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "ab")
-        apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("bits_one", "bits_two"))
-        similar_size = (100 * F.col("n_shingles_b") >= self._least * F.col("n_shingles_a")) & (
-            100 * F.col("n_shingles_a") >= self._least * F.col("n_shingles_b")
-        )
+    def _placed(self) -> DataFrame:
+        """The shared keys with the component that each document has so far."""
+        if self._links is None:
+            return self._shared.withColumn("component", F.col("doc_id"))
+        found = components(self._links).withColumnRenamed("id", "doc_id")
+        return self._shared.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    def _compare_with_centres(self, placed: DataFrame) -> None:
+        """Compare the members of each key with the two of highest degree that are apart."""
+        ranked = placed.join(self._info.select("doc_id", "degree"), "doc_id")
+        order = F.struct("degree", (-F.col("doc_id")).alias("id"))
+        one = ranked.groupBy("key").agg(F.max_by(F.struct("doc_id", "component"), order).alias("one"))
+        rest = ranked.join(one, "key").where(F.col("component") != F.col("one.component"))
+        two = rest.groupBy("key").agg(F.max_by("doc_id", order).alias("two"))
+        pairs = rest.join(two, "key").select("doc_id", F.explode(F.array("one.doc_id", "two")).alias("centre"))
+        pairs = pairs.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+        close = self._with(pairs.distinct(), self._info.drop("degree", *LANES))
+        self._add(close.where(_similar_size(self._least) & (_apart() <= SKETCH_DISTANCE)).select("a", "b"))
+
+    def _compare_all_apart(self, placed: DataFrame) -> None:
+        """Compare all members of a key that are in different components."""
+        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        apart = placed.join(several.where("low < high").select("key"), "key").join(self._info.drop("degree"), "doc_id")
+        apart = saved(apart, "apart")
+        one, two = (apart.withColumnsRenamed({c: f"{c}_{side}" for c in apart.columns if c != "key"}) for side in "ab")
         pairs = one.join(two, "key").where(
             (F.col("doc_id_a") < F.col("doc_id_b"))
             & (F.col("component_a") != F.col("component_b"))
-            & similar_size
-            & (apart <= SKETCH_DISTANCE)
+            & _similar_size(self._least)
+            & (_apart() <= SKETCH_DISTANCE)
+            & _first_shared()
         )
-        return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+        self._add(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
+
+    def components(self) -> DataFrame:
+        """(id, component) of all documents that are linked to another."""
+        self._compare_with_centres(self._placed())
+        self._compare_all_apart(self._placed())
+        return components(self._links)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -240,7 +268,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     print_of = ["n_shingles", "set_one", "set_two"]
     equal = full.groupBy(*print_of).agg(
         F.min("doc_id").alias("doc_id"),
-        *(F.first(c).alias(c) for c in ("bits_one", "bits_two", "index")),
+        *(F.first(c).alias(c) for c in (*SKETCHES, *LANES, "index")),
     )
     sets = saved(equal, "different-sets")
     found = Candidates(docs.select("doc_id", "text"), sets, words, least).components()
@@ -260,9 +288,11 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LE
     and texts without words stay.
     """
     found = near_duplicates(docs, words, least).where(F.col("doc_id").isNotNull())
-    by_id = saved(
-        found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where(~F.col("kept") | (F.col("n") > 1)),
-        "not-as-they-are",
-    )
-    repeated = docs.join(by_id.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(by_id.select("doc_id"), "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
+    by_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    changed = saved(by_id.where(~F.col("kept") | (F.col("n") > 1)), "not-as-they-are")
+    # the hint keeps the plan the same at every size
+    out = docs.join(changed.select("doc_id").hint("merge"), "doc_id", "left_anti")
+    again = changed.where("kept").select("doc_id")
+    if not again.isEmpty():
+        out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*docs.columns)

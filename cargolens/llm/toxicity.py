@@ -17,7 +17,7 @@ from cargolens.llm.textfeatures import WORD, distinct_per_row, words_of
 
 BITS = 20
 #: Bytes at the beginning (or, negative, at the end) of a word that count as a feature too.
-STEMS = (4, 6, -4)
+STEMS = (4, 5, 6, -4, -6)
 #: Labelled texts that the model is fitted on, at most; all others are scored only.
 FIT_ROWS = 30_000
 
@@ -130,12 +130,14 @@ def fit_logistic(
     features: list[bytes],
     penalty: float = 1.0,
     epochs: int = 30,
+    steps: int = 400,
     batch: int = 1000,
     least: int = 4,
     l1: float = 3e-4,
     rate: float = 0.5,
 ) -> tuple[float, np.ndarray, np.ndarray]:
-    """(bias, slots, weights). Words in fewer than ``least`` texts are left out.
+    """(bias, slots, weights). Words in fewer than ``least`` texts are left out; small samples
+    are gone through more often, until there are ``steps`` of them.
 
     ``penalty`` weighs the squared score change under the swap of group terms. Without
     labelled texts of both kinds, every score is the share of label 1, or 0.5 without any.
@@ -163,7 +165,7 @@ def fit_logistic(
     n = len(used)
     weights, gathered = np.zeros(n), np.full(n, 1e-6)
     bias, bias_gathered = 0.0, 1e-6
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps // len(parts)))):
         for rows, y, paired, swapped in parts:
             wrong = sigmoid(rows.dot(weights) + bias) - y
             step = rows.back(wrong, n) / rows.n
