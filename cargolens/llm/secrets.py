@@ -213,8 +213,9 @@ def redacted(docs: DataFrame, labelled: DataFrame | None = None, by: str = "[SEC
         ),
     )
     changed = F.size("spans") > 0
-    new = {"text": F.when(changed, rest).otherwise(F.col("text"))}
+    out = marked.select("row", changed.alias("changed"), F.when(changed, rest).otherwise(F.col("text")).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(changed, F.length(rest).cast(kind)).otherwise(F.col("row").getField("n_chars"))
-    return marked.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(F.col("row").getField("n_chars"))
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
