@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +32,14 @@ def _cleaned_columns(df: DataFrame, strip_text: bool = True) -> list[Column]:
     for name, kind in df.dtypes:
         if name in DROPPED_COLUMNS:
             continue
-        value = F.col(name)
+        value = F.col(f"`{name}`")
         if name in _DATES:
             columns.append(parse_date(name).alias(_DATES[name]))
             continue
         if kind == "string" and strip_text:
-            value = strip(name)
+            value = strip(value)
         elif kind in ("double", "float"):
-            value = F.when(~F.isnan(name), value)
+            value = F.when(~F.isnan(value), value)
         if name in _FILLS:
             value = F.coalesce(value, F.lit(_FILLS[name]))
         columns.append(value.alias(name))
@@ -67,10 +70,8 @@ def clean_summary(raw: DataFrame) -> DataFrame:
     """
     tidy = raw.select(*_cleaned_columns(raw, strip_text=False))
     kept = F.count_if(_complete())
-    gaps = [F.count_if(_complete() & F.col(c).isNull()) for c in tidy.columns]
-    missing = gaps[0]
-    for gap in gaps[1:]:
-        missing = missing + gap
+    gaps = reduce(add, [F.col(f"`{c}`").isNull().cast("int") for c in tidy.columns])
+    missing = F.coalesce(F.sum(F.when(_complete(), gaps)), F.lit(0))
     before, after = len(raw.columns), len(tidy.columns)
     return tidy.agg(
         F.count("*").alias("original_rows"),

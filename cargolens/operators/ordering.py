@@ -1,44 +1,30 @@
-"""The first rows of a table too large to send each task's candidates to one place."""
+"""The first rows of a table in the order of some columns."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Up to so many rows, the candidates of all tasks fit into one place.
+FEW = 100
+#: Tasks whose candidates meet in one place at first, beyond that.
+TASKS_TOGETHER = 64
 
-def first_rows(
-    df: DataFrame, order: Sequence[str], n: int, lead: Column | None = None
-) -> DataFrame:
-    """The first ``n`` rows by ``order``, ascending with missing values first.
 
-    A plain sort with limit lets every task send ``n`` rows to a single one. Here the
-    counts per leading value tell how far down the order the ``n`` rows reach, and only
-    rows up to there compete. ``lead`` is the first column unless a coarser expression
-    that never decreases along ``order`` is given. Should one leading value hold much of
-    the data, the scan is folded to one task per core, so the candidates grow with the
-    cluster and not with the table.
+def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``, ascending with missing values last, in one scan.
+
+    For few rows every task sends its candidates to one place. For more, candidates of
+    neighbouring tasks compete first: Spark cuts each task's rows before that shuffle, and
+    the last step sees ``n`` rows from each group of tasks. Which task had a row does not
+    matter for the result.
     """
-    keyed = df.withColumn("__lead", F.col(order[0]) if lead is None else lead)
-    smallest = (
-        keyed.groupBy("__lead")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.col("__lead").asc_nulls_first())
-        .limit(n)
-    )
-    before = F.sum("n").over(W.orderBy(F.col("__lead").asc_nulls_first())) - F.col("n")
-    last = smallest.withColumn("before", before).where(F.col("before") < n).agg(F.max("__lead"))
-    reached = F.col("__lead").isNull() | F.coalesce(
-        F.col("__lead") <= last.scalar(), F.lit(False)
-    )
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return (
-        keyed.where(reached)
-        .drop("__lead")
-        .coalesce(cores)
-        .orderBy(*[F.col(c).asc_nulls_first() for c in order])
-        .limit(n)
-        .coalesce(1)
-    )
+    keys = [F.col(f"`{c}`").asc_nulls_last() for c in order]
+    if n > FEW:
+        grouped = df.withColumn("__tasks", F.floor(F.spark_partition_id() / TASKS_TOGETHER))
+        place = F.row_number().over(W.partitionBy("__tasks").orderBy(*keys))
+        df = grouped.withColumn("__place", place).where(F.col("__place") <= n).drop("__tasks", "__place")
+    return df.orderBy(*keys).limit(n)

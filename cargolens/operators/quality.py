@@ -160,6 +160,4 @@ def sample_rows(
     """
     texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
     drawn = df.select(*columns, F.md5(F.concat_ws("|", F.lit(str(seed)), *texts)).alias("__draw"))
-    return first_rows(
-        drawn, ["__draw", *columns], n, lead=F.substring("__draw", 1, 4)
-    ).drop("__draw")
+    return first_rows(drawn, ["__draw", *columns], n).drop("__draw")

@@ -36,7 +36,7 @@ def _full_name(df: DataFrame) -> DataFrame:
     return df.withColumn("customer_name", F.concat_ws(" ", "customer_fname", "customer_lname"))
 
 
-# The domains and the report names inside them.
+# The domains, the report names inside them, and how many rows a list shows.
 DOMAINS: dict[str, dict[str, Report]] = {
     "sales": {
         "monthly_trend": _by("order_year_month", "total_sales"),
@@ -145,14 +145,17 @@ def adjusted(spec: Report, n: int | None, order: str | None) -> Report:
     if order is not None:
         spec = replace(spec, order=order)
     if n is not None:
-        spec = replace(spec, limit=n if spec.limit is None else min(n, spec.limit))
+        spec = replace(spec, limit=n)
     return spec
 
 
 def report(
     df: DataFrame, domain: str, name: str, n: int | None = None, order: str | None = None
 ) -> DataFrame:
-    """One named report, optionally with another order or another number of rows."""
+    """One named report, optionally with another order or another number of rows.
+
+    ``n`` replaces the report's own limit, be it smaller or larger.
+    """
     return run_report(df, adjusted(DOMAINS[domain][name], n, order))
 
 

@@ -2,8 +2,9 @@
 
 A dashboard asks for dozens of reports at every change of its filters. All of them are
 sums over groups of the facets, so the groups are formed once, in one scan, and stored;
-filters and reports then work on the groups. Their number is bounded by the vocabularies
-of the facets, whatever the number of items.
+filters and reports then work on the groups. Their number is bounded by the product of the
+vocabularies of the nine dimensions and by the number of items; it pays off where items are
+many times the groups (57,921 groups from 59,935 test items, 0.5 million from 6 million).
 """
 
 from __future__ import annotations

@@ -188,7 +188,7 @@ def recommendations_of(
     discount_limit: float = DISCOUNT_LIMIT,
     margin_floor: float = MARGIN_FLOOR,
 ) -> DataFrame:
-    """The recommendations from a facts row."""
+    """The recommendations from a facts row: measure, threshold, gap and what it is about."""
     some = F.col("order_items") > 0
     nobody = F.lit(None).cast("string")
     often_late = F.col("late_delivery_rate") > late_rate_limit
@@ -196,41 +196,41 @@ def recommendations_of(
     def one(value: str) -> Column:
         return fixed_point(F.col(value), 1)
 
+    def gap(value: str, limit: float) -> Column:
+        return fixed_point(F.abs(F.col(value) - limit), 1)
+
     rules = [
         ("R1",
-         _say("Late items stand at ", one("late_delivery_rate"), "%."),
-         F.when(often_late, "Review carriers and routes, and agree on penalties for late runs.")
-         .otherwise("Keep the current logistics and widen early-shipping offers."),
+         _say("late rate ", one("late_delivery_rate"), f"%, limit {late_rate_limit:.1f}%"),
+         F.when(often_late, _say("lower by ", gap("late_delivery_rate", late_rate_limit), " points"))
+         .otherwise(_say("hold, ", gap("late_delivery_rate", late_rate_limit), " points inside the limit")),
          F.when(often_late, "High").otherwise("Medium"),
          nobody, F.col("late_delivery_rate"), some),
         ("R2",
-         _say("Discounts average ", one("avg_discount_rate"), "% and cost margin."),
-         F.lit("Cap discounts per product and keep deep ones for volume buyers."),
+         _say("mean discount ", one("avg_discount_rate"), f"%, limit {discount_limit:.1f}%"),
+         _say("lower by ", gap("avg_discount_rate", discount_limit), " points"),
          F.lit("High"), nobody, F.col("avg_discount_rate"),
          F.col("avg_discount_rate") > discount_limit),
         ("R3",
-         _say("The overall margin is just ", one("overall_profit_margin"), "%."),
-         F.lit("Push high-margin lines and renegotiate weak supplier terms."),
+         _say("overall margin ", one("overall_profit_margin"), f"%, floor {margin_floor:.1f}%"),
+         _say("raise by ", gap("overall_profit_margin", margin_floor), " points"),
          F.lit("High"), nobody, F.col("overall_profit_margin"),
          F.col("overall_profit_margin") < margin_floor),
         ("R4",
-         _say(F.col("slowest_mode"), " runs latest, ", one("slowest_mode_delay"),
-              " days on average."),
-         _say("Look into the contracts behind ", F.col("slowest_mode"),
-              " and offer customers other modes."),
+         _say("mean delay ", one("slowest_mode_delay"), " days, longest of all shipping modes"),
+         _say("start with shipping mode ", F.col("slowest_mode")),
          F.lit("Medium"), F.col("slowest_mode"), F.col("slowest_mode_delay"), some),
         ("R5",
-         _say(F.col("weakest_region"), " earns the least, $",
-              grouped(F.col("weakest_region_profit"), 0), "."),
-         F.lit("Rework prices and costs there, or scale the region down."),
+         _say("profit $", grouped(F.col("weakest_region_profit"), 0), ", lowest of all regions"),
+         _say("start with region ", F.col("weakest_region")),
          F.lit("Medium"), F.col("weakest_region"), F.col("weakest_region_profit"), some),
         ("R6",
-         _say(F.col("top_market"), " brings in the most revenue."),
-         _say("Expand in ", F.col("top_market"), " with local products and quicker shipping."),
+         _say("share of sales ", one("top_market_share"), "%, largest of all markets"),
+         _say("hold the share of market ", F.col("top_market")),
          F.lit("Low"), F.col("top_market"), F.col("top_market_share"), some),
         ("R7",
-         _say(F.col("top_segment"), " customers bring in the most profit."),
-         _say("Reward loyal ", F.col("top_segment"), " customers with offers of their own."),
+         _say("share of profit ", one("top_segment_share"), "%, largest of all segments"),
+         _say("hold the share of segment ", F.col("top_segment")),
          F.lit("Low"), F.col("top_segment"), F.col("top_segment_share"), some),
         ("R0", F.lit("The selection holds no order items."), F.lit("Choose fewer filters."),
          F.lit("N/A"), nobody, F.lit(None).cast("double"), ~some),

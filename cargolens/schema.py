@@ -62,6 +62,7 @@ NA_TOKENS = (
     "nan", "null",
 )
 
+# The facets, the derived columns, and the columns that profiles and the explorer show.
 FACETS = (
     "order_year",
     "market",

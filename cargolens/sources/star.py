@@ -17,16 +17,6 @@ def _days_between(ship: str, order: str) -> Column:
     return F.pmod(F.datediff(F.col(ship), F.col(order)), F.lit(7)).cast("int")
 
 
-def spread(rows: DataFrame, source: DataFrame) -> DataFrame:
-    """Use all cores on rows whose source table has fewer splits than there are cores.
-
-    Such a table is small for the cluster, so moving its rows once is cheap. Rows of a
-    larger table stay where they are.
-    """
-    cores = source.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if source.rdd.getNumPartitions() < cores else rows
-
-
 def bind_star_schema(spark: SparkSession, folder: str) -> DataFrame:
     """Join the star schema in ``folder`` into raw order items."""
 
@@ -38,9 +28,8 @@ def bind_star_schema(spark: SparkSession, folder: str) -> DataFrame:
     )
     buyers = table("customer").join(countries, F.col("c_nationkey") == F.col("n_nationkey"))
     placed = table("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-    lines = table("lineitem")
     items = (
-        lines
+        table("lineitem")
         .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
     )
@@ -63,7 +52,7 @@ def bind_star_schema(spark: SparkSession, folder: str) -> DataFrame:
     )
     text_date = "MM/dd/yyyy HH:mm"
 
-    dated = spread(items, lines).withColumns(
+    dated = items.withColumns(
         {"shipping_mode": mode, "days_real": _days_between("l_shipdate", "o_orderdate")}
     ).withColumn("days_scheduled", scheduled)
 

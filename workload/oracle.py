@@ -371,28 +371,27 @@ def _recommendations(source: str, filtered: str = "") -> str:
     some = "total_order_items > 0"
     late = "late_delivery_rate > 50"
     rows = [
-        ("R1", f"'Late items stand at ' || {_one('late_delivery_rate')} || '%.'",
-         f"CASE WHEN {late} THEN 'Review carriers and routes, and agree on penalties for late runs.' "
-         "ELSE 'Keep the current logistics and widen early-shipping offers.' END",
+        ("R1", f"'late rate ' || {_one('late_delivery_rate')} || '%, limit 50.0%'",
+         f"CASE WHEN {late} THEN 'lower by ' || {_one('abs(late_delivery_rate - 50)')} || ' points' "
+         f"ELSE 'hold, ' || {_one('abs(late_delivery_rate - 50)')} || ' points inside the limit' END",
          f"CASE WHEN {late} THEN 'High' ELSE 'Medium' END", "NULL", "late_delivery_rate", some),
-        ("R2", f"'Discounts average ' || {_one('avg_discount_rate')} || '% and cost margin.'",
-         "'Cap discounts per product and keep deep ones for volume buyers.'",
+        ("R2", f"'mean discount ' || {_one('avg_discount_rate')} || '%, limit 5.0%'",
+         f"'lower by ' || {_one('abs(avg_discount_rate - 5)')} || ' points'",
          "'High'", "NULL", "avg_discount_rate", "avg_discount_rate > 5"),
-        ("R3", f"'The overall margin is just ' || {_one('overall_profit_margin')} || '%.'",
-         "'Push high-margin lines and renegotiate weak supplier terms.'",
+        ("R3", f"'overall margin ' || {_one('overall_profit_margin')} || '%, floor 10.0%'",
+         f"'raise by ' || {_one('abs(overall_profit_margin - 10)')} || ' points'",
          "'High'", "NULL", "overall_profit_margin", "overall_profit_margin < 10"),
-        ("R4", f"slowest_mode || ' runs latest, ' || {_one('slowest_mode_delay')} || "
-         "' days on average.'",
-         "'Look into the contracts behind ' || slowest_mode || ' and offer customers other modes.'",
+        ("R4", f"'mean delay ' || {_one('slowest_mode_delay')} || ' days, longest of all shipping modes'",
+         "'start with shipping mode ' || slowest_mode",
          "'Medium'", "slowest_mode", "slowest_mode_delay", some),
-        ("R5", f"weakest_region || ' earns the least, $' || {_dollars('weakest_region_profit')} || '.'",
-         "'Rework prices and costs there, or scale the region down.'",
+        ("R5", f"'profit $' || {_dollars('weakest_region_profit')} || ', lowest of all regions'",
+         "'start with region ' || weakest_region",
          "'Medium'", "weakest_region", "weakest_region_profit", some),
-        ("R6", "top_market || ' brings in the most revenue.'",
-         "'Expand in ' || top_market || ' with local products and quicker shipping.'",
+        ("R6", f"'share of sales ' || {_one('top_market_share')} || '%, largest of all markets'",
+         "'hold the share of market ' || top_market",
          "'Low'", "top_market", "top_market_share", some),
-        ("R7", "top_segment || ' customers bring in the most profit.'",
-         "'Reward loyal ' || top_segment || ' customers with offers of their own.'",
+        ("R7", f"'share of profit ' || {_one('top_segment_share')} || '%, largest of all segments'",
+         "'hold the share of segment ' || top_segment",
          "'Low'", "top_segment", "top_segment_share", some),
         ("R0", "'The selection holds no order items.'", "'Choose fewer filters.'",
          "'N/A'", "NULL", "NULL", "total_order_items = 0"),
@@ -500,7 +499,7 @@ GUARD = (
     f"CASE WHEN discount_rate > 0.09::DOUBLE THEN 'needs approval' WHEN discount_rate > {CAP} "
     "THEN 'over cap' ELSE 'within cap' END"
 )
-TIME = "strftime({}, '%Y-%m-%d %H:%M')"
+TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -529,14 +528,14 @@ def oracle_sql() -> dict[str, str]:
         "preview_rows": _mart(
             "SELECT order_id, product_name, CAST(sales AS DOUBLE) AS sales, "
             "CAST(profit AS DOUBLE) AS profit, order_year, order_month, order_month_name, "
-            "order_quarter, order_year_month, shipping_delay_days, is_late FROM mart "
+            "order_quarter, order_year_month, shipping_delay_days, is_late, "
+            "round(profit_margin_pct, 6) AS profit_margin_pct, revenue_band FROM mart "
             "ORDER BY mart.order_id, mart.product_name, mart.sales, mart.profit, order_year "
-            "NULLS FIRST, shipping_delay_days, is_late LIMIT 5"
+            "NULLS LAST, order_month NULLS LAST, shipping_delay_days, is_late LIMIT 5"
         ),
         "preview_raw_rows": _raw(
-            "SELECT order_id, product_name, CAST(profit AS DOUBLE) AS profit, "
-            "CAST(sales AS DOUBLE) AS sales, order_date_raw FROM raw ORDER BY raw.order_id, "
-            "raw.product_name, raw.profit, raw.sales NULLS FIRST, order_date_raw LIMIT 5"
+            "SELECT * REPLACE (CAST(sales AS DOUBLE) AS sales, CAST(profit AS DOUBLE) AS profit) "
+            f"FROM (SELECT * FROM raw ORDER BY {', '.join(f'{c} NULLS LAST' for c in RAW_TYPES)} LIMIT 5)"
         ),
         "clean_dates": _mart(
             "SELECT order_id, product_name, CAST(sales AS DOUBLE) AS sales, "
@@ -628,7 +627,7 @@ def oracle_sql() -> dict[str, str]:
             "department_name, category_name, product_name, shipping_mode, delivery_status, "
             "order_status, CAST(sales AS DOUBLE) AS sales, CAST(profit AS DOUBLE) AS profit, "
             "round(profit_margin_pct, 6) AS profit_margin_pct, shipping_delay_days FROM ("
-            "SELECT * FROM mart ORDER BY order_ts NULLS FIRST, market, order_region, "
+            "SELECT * FROM mart ORDER BY order_ts NULLS LAST, market, order_region, "
             "customer_segment, department_name, category_name, product_name, shipping_mode, "
             "delivery_status, order_status, sales, profit, profit_margin_pct, shipping_delay_days "
             "LIMIT 5000)"

@@ -43,8 +43,7 @@ EXPORT_COLUMNS = (
     "order_id", "market", "order_region", "customer_segment", "product_name",
     "shipping_mode", "order_status", "sales", "profit", "discount_rate",
 )
-PREVIEW_COLUMNS = ("order_id", "product_name", "sales", "profit", *FEATURE_COLUMNS[:-2])
-RAW_PREVIEW_COLUMNS = ("order_id", "product_name", "profit", "sales", "order_date_raw")
+PREVIEW_COLUMNS = ("order_id", "product_name", "sales", "profit", *FEATURE_COLUMNS)
 HIGH_MARGIN_CATEGORIES = ("Brand#1", "Brand#10")
 GUARDRAILS = {"standard_cap": 0.08, "high_margin_cap": 0.05, "approval_above": 0.09}
 DIMENSION_COLUMNS = ("customer_id", "market", "payment_type", "category_name", "shipping_mode")
@@ -72,7 +71,7 @@ def comparable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
         elif kind in ("double", "float"):
             value = F.round(value.cast("double"), digits)
         elif kind.startswith("timestamp"):
-            value = F.substring(value.cast("string"), 1, 16)
+            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
         elif kind == "date":
             value = value.cast("string")
         columns.append(value.alias(name))
@@ -257,7 +256,7 @@ def queries() -> dict[str, Query]:
         "prepared_mart": _on_mart(lambda df: df),
         "export_filtered": export_filtered,
         "preview_rows": _on_mart(lambda df: explore(df, PREVIEW_COLUMNS, limit=5)),
-        "preview_raw_rows": _on_raw(lambda raw: explore(raw, RAW_PREVIEW_COLUMNS, limit=5)),
+        "preview_raw_rows": _on_raw(lambda raw: explore(raw, raw.columns, limit=5)),
         # cleaning
         "clean_dates": _on_raw(
             _cleaned("order_id", "product_name", "sales", "order_ts", "shipping_ts")
