@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cargolens.functions.text import strip
@@ -63,22 +64,46 @@ def clean(raw: DataFrame) -> DataFrame:
     return raw.select(*_cleaned_columns(raw)).where(_complete())
 
 
+def _counters(columns: list[str]) -> list[Column]:
+    gaps = reduce(add, [F.col(f"`{c}`").isNull().cast("int") for c in columns])
+    return [
+        F.count("*").alias("original_rows"),
+        F.count_if(_complete()).alias("cleaned_rows"),
+        F.coalesce(F.sum(F.when(_complete(), gaps)), F.lit(0)).alias("missing_after"),
+    ]
+
+
+def _summary(counted: DataFrame, before: int, after: int) -> DataFrame:
+    return counted.select(
+        "original_rows",
+        F.lit(before).alias("original_cols"),
+        "cleaned_rows",
+        F.lit(after).alias("cleaned_cols"),
+        (F.col("original_rows") - F.col("cleaned_rows")).alias("rows_dropped"),
+        F.lit(before - after).alias("cols_dropped"),
+        "missing_after",
+    )
+
+
 def clean_summary(raw: DataFrame) -> DataFrame:
     """Rows and columns before and after cleaning, and the gaps left, in one pass.
 
     Stripping text makes no cell missing, so it is left out here.
     """
     tidy = raw.select(*_cleaned_columns(raw, strip_text=False))
-    kept = F.count_if(_complete())
-    gaps = reduce(add, [F.col(f"`{c}`").isNull().cast("int") for c in tidy.columns])
-    missing = F.coalesce(F.sum(F.when(_complete(), gaps)), F.lit(0))
+    return _summary(tidy.agg(*_counters(tidy.columns)), len(raw.columns), len(tidy.columns))
+
+
+def clean_and_observe(raw: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``clean(raw)``, and what gives its summary once the rows have been written or counted."""
+    tidy = raw.select(*_cleaned_columns(raw))
+    seen = Observation()
     before, after = len(raw.columns), len(tidy.columns)
-    return tidy.agg(
-        F.count("*").alias("original_rows"),
-        F.lit(before).alias("original_cols"),
-        kept.alias("cleaned_rows"),
-        F.lit(after).alias("cleaned_cols"),
-        (F.count("*") - kept).alias("rows_dropped"),
-        F.lit(before - after).alias("cols_dropped"),
-        missing.alias("missing_after"),
-    )
+
+    def summary() -> DataFrame:
+        names = ("original_rows", "cleaned_rows", "missing_after")
+        row = tuple(seen.get[name] for name in names)
+        counted = raw.sparkSession.createDataFrame([row], ", ".join(f"{n} bigint" for n in names))
+        return _summary(counted, before, after)
+
+    return tidy.observe(seen, *_counters(tidy.columns)).where(_complete()), summary

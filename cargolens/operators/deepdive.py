@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cargolens.functions.measures import measure, percent
 from cargolens.operators.quantiles import exact_quantiles
-from cargolens.operators.reports import group_report, share_of_total
+from cargolens.operators.reports import group_report, report, share_of_total
 from cargolens.schema import AT_RISK_ORDER_STATUSES
 
 
@@ -82,12 +82,22 @@ def order_value_range(df: DataFrame) -> DataFrame:
     )
 
 
-def delivery_scorecard_weekly(df: DataFrame, alert_above: float = 60.0) -> DataFrame:
-    """Late rate per week (from Monday), shipping mode and region, with an alert flag."""
+def delivery_scorecard_weekly(
+    df: DataFrame, alert_above: float = 60.0, rate: str = "late_rate_pct"
+) -> DataFrame:
+    """Late rate per week (from Monday), shipping mode and region, with an alert flag.
+
+    ``rate`` is ``late_rate_pct``, of late deliveries, or ``late_risk_pct``, of items at risk.
+    """
     weekly = df.withColumn("week_start", F.date_trunc("week", "order_ts").cast("date"))
     dims = ["week_start", "shipping_mode", "order_region"]
-    scored = group_report(weekly, dims, [measure("order_items"), measure("late_rate_pct")])
-    return scored.withColumn("alert", F.col("late_rate_pct") > alert_above).orderBy(*dims)
+    scored = group_report(weekly, dims, [measure("order_items"), measure(rate)])
+    return scored.withColumn("alert", F.col(rate) > alert_above).orderBy(*dims)
+
+
+def high_margin_categories(df: DataFrame, n: int) -> list[str]:
+    """The ``n`` categories with the best average margin, from the data. Runs a job."""
+    return [r.category_name for r in report(df, "product", "category_profit_margin", n=n).collect()]
 
 
 def discount_guardrails(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,34 +14,47 @@ from cargolens.schema import HEADER_OF, NA_TOKENS, RAW_COLUMNS
 
 def read_csv(
     spark: SparkSession,
-    path: str | list[str],
+    path: str | Sequence[str],
     encoding: str = "ISO-8859-1",
-    multi_line: bool = True,
+    multi_line: bool = False,
     na_tokens: Iterable[str] = NA_TOKENS,
+    types: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Read order-item CSV files under canonical names and declared types.
 
     Cells are read as text, cells equal to an NA token become null, and only then
     are the typed columns cast, so one bad cell costs that cell and not the row.
-    Columns without a declared type stay text.
+    Columns without a declared type stay text unless ``types`` (header to type) has them.
 
-    ``multi_line`` keeps quoted line breaks in one cell, and makes every file one
-    split. Files known to hold no quoted line breaks should be read with
-    ``multi_line=False``: Spark then splits them at any size.
+    Each path of a list is read by its own header, and the results are joined by column name;
+    columns that one of them lacks are null there. Files below one path must have the same
+    header: Spark raises an error where they differ.
+
+    Files are split at any size. ``multi_line`` keeps quoted line breaks in one cell, but
+    makes every file one split.
     """
+    parts = [path] if isinstance(path, str) else list(path)
+    tables = [_read_layout(spark, p, encoding, multi_line, list(na_tokens), types or {}) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def _read_layout(
+    spark: SparkSession, path: str, encoding: str, multi_line: bool, tokens: list[str], types: Mapping[str, str]
+) -> DataFrame:
     cells = (
         spark.read.option("header", True)
         .option("inferSchema", False)
+        .option("enforceSchema", False)
         .option("encoding", encoding)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
     )
-    tokens = list(na_tokens)
     columns = []
     for header in cells.columns:
         name, kind = RAW_COLUMNS.get(header, (header, "string"))
+        kind = types.get(header, kind)
         text = F.col(f"`{header}`")
         present = F.when(~text.isin(tokens), text)
         columns.append((present if kind == "string" else present.try_cast(kind)).alias(name))
@@ -48,7 +62,7 @@ def read_csv(
 
 
 def read_order_items(spark: SparkSession, path: str) -> DataFrame:
-    """Read raw or prepared order items that are already stored as Parquet."""
+    """Prepared order items that ``write_mart`` stored; a filter on the year prunes files."""
     return spark.read.parquet(path)
 
 

@@ -1,94 +1,25 @@
-"""Tables computed once and read many times.
+"""Tables written once and read many times, at paths that the caller knows.
 
-A staged table is written as Parquet below the folder the cluster names in
-``spark.checkpoint.dir`` and read back, so lineage is cut, later queries scan only the
-columns they need, and a lost executor costs a re-read and nothing more.
+What is read back starts from the files: lineage is cut, later queries scan only the columns
+they need, and a lost executor costs a re-read and nothing more.
 """
 
 from __future__ import annotations
 
-import tempfile
-import threading
 import uuid
-from collections.abc import Callable
-from functools import cache
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-_paths: dict[tuple[str, str, str], str] = {}
-_lock = threading.RLock()
-
-
-@cache
-def _folder_for_tests() -> str:
-    return tempfile.mkdtemp(prefix="cargolens-")
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder; a temporary one only where the master is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    return _folder_for_tests() if spark.sparkContext.master.startswith("local") else None
-
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    folder = shared_folder(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    """A path that nothing else uses, below the folder named by ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share, or pass a path")
     return f"{folder.rstrip('/')}/cargolens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(
-    spark: SparkSession,
-    name: str,
-    source: str,
-    write: Callable[[str], None],
-    read: Callable[[str], DataFrame],
-) -> DataFrame:
-    """Read the table ``name`` made from ``source``, writing it on first use.
-
-    A path is remembered only after ``write`` returned, so a failed write is never
-    read, and a path that has since been removed is written anew.
-    """
-    key = (spark.sparkContext.applicationId, name, source)
-    with _lock:
-        if key in _paths:
-            try:
-                return read(_paths[key])
-            except AnalysisException:
-                del _paths[key]
-        path = new_path(spark, name)
-        write(path)
-        _paths[key] = path
-        return read(path)
-
-
-def stage(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Return ``build()`` as a staged Parquet table.
-
-    Without a shared folder the plan itself is returned and is recomputed by each query.
-    """
-    if shared_folder(spark) is None:
-        return build()
-    return staged(
-        spark, name, source, lambda path: build().write.parquet(path), spark.read.parquet
-    )
-
-
-def written_out(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back. Runs a job.
-
-    Later plans start from the files: what led to them is not computed again, and the
-    optimizer knows their size. The size of an aggregate, say, is unknown until it has
-    run, and a join with it would shuffle the large side first; read back, it is
-    broadcast when it is below the session's threshold and joined by shuffle if not.
-    """
-    spark = df.sparkSession
-    if shared_folder(spark) is None:
-        return df
-    path = new_path(spark, name)
+def written_out(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` as Parquet and read back. Runs a job."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

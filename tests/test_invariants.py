@@ -17,11 +17,13 @@ from cargolens import (
     summarize,
     summary_report,
 )
-from cargolens.operators.quality import duplicate_rows, sample_rows
+from cargolens.operators.quality import duplicate_rows, numeric_describe, sample_rows
 from cargolens.operators.reports import DOMAINS
 from cargolens.operators.summary import answers
 from cargolens.plans.facts import facts_of_summary
 from cargolens.plans.findings import business_answers_of, insights_of, recommendations_of
+from cargolens.plans.kpis import distinct_count
+from workload.queries import RESORTED
 
 SELECTION = {"market": ["ASIA", "EUROPE"], "order_year": [1997, 1998]}
 ALIASES = [
@@ -144,3 +146,27 @@ def test_findings_of_a_summary(edge):
     assert rows(insights_of(known)) == rows(insights(edge))
     assert rows(recommendations_of(known)) == rows(recommendations(edge))
     assert rows(business_answers_of(known)) == rows(business_answers(edge))
+
+
+@pytest.mark.parametrize(
+    "name, domain, table, order",
+    [(n, *spec[:3]) for n, spec in RESORTED.items() if spec[2]],
+)
+def test_rows_come_in_the_asked_order(prepared, name, domain, table, order):
+    """The order itself, which a comparison of sets does not see."""
+    spec = DOMAINS[domain][table]
+    rows = report(prepared, domain, table, order=order).collect()
+    value, dim = spec.measures[0], spec.dims[0]
+    sign = -1 if order == "desc" else 1
+    assert rows == sorted(rows, key=lambda r: (sign * r[value], r[dim]))
+
+
+def test_approximate_options_are_close(prepared):
+    exact = {r.column_name: r for r in numeric_describe(prepared, ["sales", "profit"]).collect()}
+    rough = {r.column_name: r for r in numeric_describe(prepared, ["sales", "profit"], approximate=True).collect()}
+    for column, row in exact.items():
+        assert row["count"] == rough[column]["count"]
+        for quartile in ("p25", "p50", "p75"):
+            assert abs(row[quartile] - rough[column][quartile]) <= 0.02 * abs(row["max"])
+    whole, near = (distinct_count(prepared, "order_id", approximate=a).first()[0] for a in (False, True))
+    assert abs(whole - near) <= 0.1 * whole

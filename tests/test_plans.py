@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import queries
-from cargolens import facet_filter, insights, kpis, report, share_of_total
+from cargolens import explore, facet_filter, insights, kpis, metrics_cube, report, share_of_total
+from cargolens.operators import quality
 from cargolens.operators.features import prepare
 from cargolens.sources import staging
+from cargolens.sources.star import bind_star_schema
 from tests.conftest import TABLES
+from workload import tables
+from workload.queries import queries
 
 BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
           "MapInPandas", "ObjectHashAggregate(keys=[]", "LocalTableScan")
@@ -60,37 +63,67 @@ def test_share_reuses_the_report(prepared):
     assert "ReusedExchange" in plan(shares)
 
 
-def test_staged_table_survives_removal(spark):
+def test_new_input_is_seen(spark, tmp_path):
+    """A table made from files is made anew when rows are added to them."""
+    for name in tables.SOURCES:
+        spark.range(3).write.parquet(str(tmp_path / f"{name}.parquet"))
     built = []
 
-    def build():
-        built.append(1)
-        return spark.range(3)
+    def read():
+        def build():
+            built.append(1)
+            return spark.read.parquet(str(tmp_path / "orders.parquet"))
 
-    first = staging.stage(spark, "probe", "here", build)
-    assert first.count() == 3
-    assert staging.stage(spark, "probe", "here", build).count() == 3 and len(built) == 1
-    key = next(k for k in staging._paths if k[1] == "probe")
-    staging._paths[key] += "-gone"
-    assert staging.stage(spark, "probe", "here", build).count() == 3 and len(built) == 2
+        return tables.stage(spark, "probe", str(tmp_path), build).count()
+
+    assert (read(), read(), len(built)) == (3, 3, 1)
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "orders.parquet"))
+    assert (read(), len(built)) == (8, 2)
 
 
 def test_failed_write_is_not_reused(spark):
+    def fail(path):
+        raise RuntimeError
+
     with pytest.raises(RuntimeError):
-        staging.staged(spark, "broken", "here", lambda path: (_ for _ in ()).throw(RuntimeError()), spark.read.parquet)
-    assert not [k for k in staging._paths if k[1] == "broken"]
+        tables.stored(spark, "broken", TABLES, fail, spark.read.parquet)
+    assert not [k for k in tables._paths if k[1] == "broken"]
 
 
 class _Session:
-    """Just enough of a session to ask for its folder."""
+    """Just enough of a session to ask for a path."""
 
     def __init__(self, master, folder):
         self.conf = {"spark.checkpoint.dir": folder}
-        self.sparkContext = type("Context", (), {"master": master})
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app"})
+
+
+@pytest.mark.parametrize("master", ["yarn", "local[2]"])
+def test_paths_are_below_the_named_folder_on_any_master(master):
+    assert staging.new_path(_Session(master, "hdfs://shared/"), "x").startswith("hdfs://shared/cargolens/app/x-")
+    with pytest.raises(ValueError):
+        staging.new_path(_Session(master, None), "x")
+
+
+def test_first_rows_read_once_and_shuffle_candidates_only(prepared):
+    few = plan(explore(prepared, limit=5))
+    assert few.count("FileScan") == 1 and "Exchange" not in few and "TakeOrderedAndProject(limit=5" in few
+    many = plan(explore(prepared, limit=5000))
+    assert many.count("FileScan") == 1 and many.count("Exchange") == 1
+    assert many.index("WindowGroupLimit") < many.index("Exchange") < many.rindex("WindowGroupLimit")
+
+
+def test_cube_shuffles_one_row_for_a_key_and_task(prepared):
+    text = plan(metrics_cube(prepared))
+    assert text.count("Exchange") == 1 and text.count("HashAggregate") == 2 and text.count("FileScan") == 1
+
+
+def test_binding_joins_by_hash_or_sort_only(spark):
+    text = plan(prepare(bind_star_schema(spark, TABLES)).select("order_id", "sales", "market"))
+    assert text.count("FileScan") == 6 and not [word for word in BANNED if word in text]
+    assert "RoundRobin" not in text
 
 
-def test_only_a_local_master_gets_a_temporary_folder():
-    assert staging.shared_folder(_Session("yarn", "hdfs://shared")) == "hdfs://shared"
-    assert staging.shared_folder(_Session("yarn", None)) is None
-    local = staging.shared_folder(_Session("local[2]", None))
-    assert local and local == staging.shared_folder(_Session("local[2]", None))
+def test_values_of_a_vocabulary_stay_rows(raw):
+    text = plan(quality.categorical_values(raw))
+    assert "collect_list" not in text and "collect_set" not in text

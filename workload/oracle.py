@@ -408,6 +408,21 @@ def _recommendations(source: str, filtered: str = "") -> str:
     return f"WITH {MART}{filtered},{_facts(source)}\n{body}"
 
 
+# Query name -> (dimension, measure, what is sorted by, direction, rows).
+RESORTED = {
+    "resort_margin_by_segment": ("customer_segment", "avg_profit_margin_pct", "avg(profit_margin_pct)", "DESC", 0),
+    "resort_sales_by_mode": ("shipping_mode", "total_sales", "sum(sales)", "DESC", 0),
+    "resort_mode_avg_delay": ("shipping_mode", "avg_delay_days", "avg(shipping_delay_days)", "DESC", 0),
+    "resort_mode_late_rate": ("shipping_mode", "late_rate_pct", "avg(is_late)", "DESC", 0),
+    "resort_late_by_region": ("order_region", "late_rate_pct", "avg(is_late)", "ASC", 0),
+    "resort_category_margin_asc": ("category_name", "avg_profit_margin_pct", "avg(profit_margin_pct)", "ASC", 7),
+    "top_products_by_sales_50": ("product_name", "total_sales", "sum(sales)", "DESC", 50),
+    "bottom_products_40": ("product_name", "total_profit", "sum(profit)", "ASC", 40),
+    "topn_sales_by_market_3": ("market", "total_sales", "sum(sales)", "DESC", 3),
+    "topn_profit_by_region_4": ("order_region", "total_profit", "sum(profit)", "DESC", 4),
+    "topn_status_by_items_2": ("delivery_status", "order_items", "count(*)", "DESC", 2),
+}
+
 FILTERED = f",\nchosen AS (SELECT * FROM mart WHERE {CHOSEN})"
 NOWHERE = ",\nchosen AS (SELECT * FROM mart WHERE market = 'NOWHERE')"
 
@@ -674,14 +689,81 @@ def oracle_sql() -> dict[str, str]:
             ])
         ),
         "numeric_describe": _raw(_union([_describe(c) for c in NUMERIC])),
+        "numeric_describe_gaps": _raw(
+            _union([_describe("sales"), _describe("days_real")])
+            + " UNION ALL SELECT 'discount_amount', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL"
+        ),
         "categorical_uniques": _raw(
             _union([
-                f"SELECT '{c}' AS column_name, count(*) AS unique_values, "
-                f"string_agg(v, ' | ' ORDER BY v) AS value_list "
-                f"FROM (SELECT DISTINCT {c} AS v FROM raw WHERE {c} IS NOT NULL)"
+                f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_values FROM raw"
+                for c in CATEGORICAL
+            ])
+        ),
+        "categorical_uniques_gaps": _raw(
+            _union([
+                f"SELECT '{c}' AS column_name, "
+                + ("count(NULL::VARCHAR)" if c == "customer_segment" else f"count(DISTINCT {c})")
+                + " AS unique_values FROM raw"
                 for c in CATEGORICAL
             ])
         ),
+        "categorical_values": _raw(
+            _union([
+                f"SELECT DISTINCT '{c}' AS column_name, {c} AS value FROM raw WHERE {c} IS NOT NULL"
+                for c in CATEGORICAL
+            ])
+        ),
+        "csv_layouts": _raw(
+            "SELECT order_id, market, CAST(sales AS DOUBLE) AS sales, CAST(profit AS DOUBLE) AS profit, "
+            "CASE WHEN order_id % 2 = 0 THEN product_name END AS product_name, days_real FROM raw"
+        ),
+        "mart_by_year": _mart(
+            "SELECT order_id, order_year, market, CAST(sales AS DOUBLE) AS sales, "
+            "CAST(profit AS DOUBLE) AS profit FROM mart WHERE order_year IN (1997, 1999)"
+        ),
+        "facet_filter_all": _mart(
+            "SELECT order_id, market, order_region, customer_segment, product_name, shipping_mode, "
+            "order_status, CAST(sales AS DOUBLE) AS sales, CAST(profit AS DOUBLE) AS profit, "
+            "discount_rate FROM mart WHERE order_year BETWEEN 1995 AND 1999 "
+            "AND market IN ('ASIA', 'EUROPE', 'AMERICA') "
+            "AND order_region IN ('ASIA West', 'ASIA East', 'EUROPE West', 'AMERICA West') "
+            "AND customer_segment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') "
+            "AND shipping_mode IN ('Standard Class', 'First Class') "
+            "AND order_status IN ('COMPLETE', 'PENDING') "
+            "AND delivery_status IN ('Late delivery', 'Advance shipping')"
+        ),
+        "late_risk_scorecard_weekly": _mart(
+            "SELECT strftime(date_trunc('week', order_ts), '%Y-%m-%d') AS week_start, shipping_mode, "
+            "order_region, count(*) AS order_items, round(avg(late_delivery_risk) * 100, 6) AS late_risk_pct, "
+            "avg(late_delivery_risk) * 100 > 60 AS alert FROM mart WHERE order_ts IS NOT NULL "
+            "AND shipping_mode IS NOT NULL AND order_region IS NOT NULL GROUP BY 1, 2, 3"
+        ),
+        "guardrails_of_best_categories": _mart("")
+        + """, best AS (SELECT category_name AS c FROM mart WHERE category_name IS NOT NULL
+  GROUP BY category_name ORDER BY avg(profit_margin_pct) DESC, category_name LIMIT 5),
+capped AS (SELECT category_name, profit, discount_rate, CASE WHEN category_name IN (SELECT c FROM best)
+  THEN 0.10::DOUBLE ELSE 0.15::DOUBLE END AS cap FROM mart)
+SELECT category_name, CASE WHEN discount_rate > 0.20::DOUBLE THEN 'needs approval'
+    WHEN discount_rate > cap THEN 'over cap' ELSE 'within cap' END AS guardrail,
+  count(*) AS order_items, CAST(sum(profit) AS DOUBLE) AS total_profit
+FROM capped WHERE category_name IS NOT NULL GROUP BY 1, 2""",
+        "low_margin_under_half_products": _mart("")
+        + _products("60", "total_sales > (SELECT quantile_cont(total_sales, 0.5) FROM products)"),
+        **{
+            name: _mart(
+                f"SELECT {dims}, {_aggregates(column)} FROM mart WHERE {dims} IS NOT NULL GROUP BY {dims} "
+                f"ORDER BY {by} {way}, {dims}" + (f" LIMIT {rows}" if rows else "")
+            )
+            for name, (dims, column, by, way, rows) in RESORTED.items()
+        },
+        "top_customers_100": _mart(
+            "SELECT customer_id, customer_fname, customer_lname, "
+            "CAST(sum(sales) AS DOUBLE) AS total_sales, "
+            "customer_fname || ' ' || customer_lname AS customer_name FROM mart "
+            "WHERE customer_id IS NOT NULL AND customer_fname IS NOT NULL "
+            "GROUP BY customer_id, customer_fname, customer_lname "
+            "ORDER BY sum(sales) DESC, customer_id, customer_fname, customer_lname LIMIT 100"
+        ),
         "missing_values": _raw(
             "SELECT * FROM ("
             + _union([

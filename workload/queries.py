@@ -26,9 +26,9 @@ from cargolens.plans import findings
 from cargolens.plans.facts import facts_of_summary
 from cargolens.plans.kpis import distinct_count, kpis, kpis_long
 from cargolens.schema import FEATURE_COLUMNS
-from cargolens.sources.files import read_csv, write_csv
-from cargolens.sources.staging import stage, staged
+from cargolens.sources.files import read_csv, read_order_items, write_csv, write_mart
 from cargolens.sources.star import bind_star_schema
+from workload.tables import stage, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -39,6 +39,17 @@ SELECTION = {
     "shipping_mode": ["Same Day", "Standard Class"],
     "customer_segment": [],
 }
+# All eight facets.
+FULL_SELECTION = {
+    "order_year": [1995, 1996, 1997, 1998, 1999],
+    "market": ["ASIA", "EUROPE", "AMERICA"],
+    "order_region": ["ASIA West", "ASIA East", "EUROPE West", "AMERICA West"],
+    "customer_segment": ["BUILDING", "MACHINERY", "AUTOMOBILE"],
+    "department_name": [],
+    "shipping_mode": ["Standard Class", "First Class"],
+    "order_status": ["COMPLETE", "PENDING"],
+    "delivery_status": ["Late delivery", "Advance shipping"],
+}
 EXPORT_COLUMNS = (
     "order_id", "market", "order_region", "customer_segment", "product_name",
     "shipping_mode", "order_status", "sales", "profit", "discount_rate",
@@ -155,6 +166,22 @@ TOP_REPORTS = {
     "topn_order_statuses_8": ("delivery", "order_status_counts", 8),
 }
 
+# Query name -> (domain, report, order, rows): the re-sorts of the dashboard and longer lists.
+RESORTED = {
+    "resort_margin_by_segment": ("profit", "margin_by_segment", "desc", None),
+    "resort_sales_by_mode": ("shipping", "mode_sales", "desc", None),
+    "resort_mode_avg_delay": ("shipping", "mode_avg_delay", "desc", None),
+    "resort_mode_late_rate": ("shipping", "mode_late_rate", "desc", None),
+    "resort_late_by_region": ("delivery", "late_by_region", "asc", None),
+    "resort_category_margin_asc": ("product", "category_profit_margin", "asc", 7),
+    "top_products_by_sales_50": ("product", "top_products_by_sales", None, 50),
+    "top_customers_100": ("customer", "top_customers", None, 100),
+    "bottom_products_40": ("product", "bottom_products", None, 40),
+    "topn_sales_by_market_3": ("sales", "by_market", "desc", 3),
+    "topn_profit_by_region_4": ("profit", "by_region", None, 4),
+    "topn_status_by_items_2": ("delivery", "status_counts", None, 2),
+}
+
 # Query name -> (domain, report, measure): slices of the whole.
 SHARES = {
     "share_sales_by_segment": ("sales", "by_segment", "total_sales"),
@@ -164,8 +191,8 @@ SHARES = {
 }
 
 
-def _report(domain: str, name: str, n: int | None = None) -> Query:
-    return _on_mart(lambda df: report(df, domain, name, n=n))
+def _report(domain: str, name: str, n: int | None = None, order: str | None = None) -> Query:
+    return _on_mart(lambda df: report(df, domain, name, n=n, order=order))
 
 
 def _share(domain: str, name: str, value: str) -> Query:
@@ -174,7 +201,7 @@ def _share(domain: str, name: str, value: str) -> Query:
 
 def load_order_items(spark: SparkSession, folder: str) -> DataFrame:
     """The raw table written as CSV files with the original headers and read back."""
-    items = staged(
+    items = stored(
         spark,
         "raw-csv",
         folder,
@@ -188,7 +215,7 @@ def load_order_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def export_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of a filtered selection written as CSV and read back."""
-    rows = staged(
+    rows = stored(
         spark,
         "export-csv",
         folder,
@@ -200,6 +227,42 @@ def export_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return comparable(rows)
 
 
+def csv_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Two CSV folders with columns in another order, one column short, read by name."""
+    columns = ["order_id", "market", "sales", "profit", "product_name", "days_real"]
+
+    def write(path: str) -> None:
+        items = raw_items(spark, folder).select(*columns)
+        early = F.col("order_id") % 2 == 0
+        write_csv(items.where(early), f"{path}/one", raw_headers=True, encoding="ISO-8859-1")
+        other = items.where(~early).select(*reversed(columns[1:]), "order_id").drop("product_name")
+        write_csv(other, f"{path}/two", raw_headers=True, encoding="ISO-8859-1")
+
+    return comparable(
+        stored(spark, "csv-layouts", folder, write, lambda path: read_csv(spark, [f"{path}/one", f"{path}/two"]))
+    )
+
+
+def mart_by_year(spark: SparkSession, folder: str) -> DataFrame:
+    """The mart stored by year and read back for two years."""
+    rows = stored(
+        spark,
+        "mart-by-year",
+        folder,
+        lambda path: write_mart(mart(spark, folder), path),
+        lambda path: read_order_items(spark, path),
+    )
+    chosen = rows.where(F.col("order_year").isin(1997, 1999))
+    return comparable(chosen.select("order_id", "order_year", "market", "sales", "profit"))
+
+
+def _describe_gaps(df: DataFrame) -> DataFrame:
+    """A profile with a column that is missing everywhere."""
+    return quality.numeric_describe(
+        df.select("sales", "days_real", F.lit(None).cast("double").alias("discount_amount"))
+    )
+
+
 def _formats(df: DataFrame) -> DataFrame:
     return df.select(
         "order_id", "sales", "profit",
@@ -255,6 +318,8 @@ def queries() -> dict[str, Query]:
         "load_order_items": load_order_items,
         "prepared_mart": _on_mart(lambda df: df),
         "export_filtered": export_filtered,
+        "csv_layouts": csv_layouts,
+        "mart_by_year": mart_by_year,
         "preview_rows": _on_mart(lambda df: explore(df, PREVIEW_COLUMNS, limit=5)),
         "preview_raw_rows": _on_raw(lambda raw: explore(raw, raw.columns, limit=5)),
         # cleaning
@@ -343,7 +408,14 @@ def queries() -> dict[str, Query]:
         "dataset_shape": _on_raw(quality.dataset_shape),
         "column_types": _on_raw(quality.column_types),
         "numeric_describe": _on_raw(quality.numeric_describe),
+        "numeric_describe_gaps": _on_raw(_describe_gaps),
         "categorical_uniques": _on_raw(quality.categorical_uniques),
+        "categorical_uniques_gaps": _on_raw(
+            lambda raw: quality.categorical_uniques(
+                raw.withColumn("customer_segment", F.lit(None).cast("string"))
+            )
+        ),
+        "categorical_values": _on_raw(quality.categorical_values),
         "missing_values": _on_raw(quality.missing_values),
         "missing_cells": _on_raw(quality.missing_cells),
         "duplicate_rows": _on_raw(quality.duplicate_rows),
@@ -390,6 +462,22 @@ def queries() -> dict[str, Query]:
         "avg_order_value_by_order": _on_mart(deepdive.avg_order_value_by_order),
         "order_value_range": _on_mart(deepdive.order_value_range),
         "delivery_scorecard_weekly": _on_mart(deepdive.delivery_scorecard_weekly),
+        "late_risk_scorecard_weekly": _on_mart(
+            lambda df: deepdive.delivery_scorecard_weekly(df, rate="late_risk_pct")
+        ),
+        "guardrails_of_best_categories": _on_mart(
+            lambda df: deepdive.guardrail_summary(
+                deepdive.discount_guardrails(df, deepdive.high_margin_categories(df, 5))
+            )
+        ),
+        "low_margin_under_half_products": _on_mart(
+            lambda df: deepdive.low_margin_high_sales_products(
+                df, probability=0.5, margin_below=60.0, basis="total"
+            )
+        ),
+        "facet_filter_all": _on_mart(
+            lambda df: facet_filter(df, FULL_SELECTION).select(*EXPORT_COLUMNS)
+        ),
         "discount_guardrails": _on_mart(
             lambda df: deepdive.discount_guardrails(
                 df, HIGH_MARGIN_CATEGORIES, **GUARDRAILS
@@ -408,6 +496,8 @@ def queries() -> dict[str, Query]:
         registry[name] = _report(domain, table)
     for name, (domain, table, rows) in TOP_REPORTS.items():
         registry[name] = _report(domain, table, rows)
+    for name, (domain, table, order, rows) in RESORTED.items():
+        registry[name] = _report(domain, table, rows, order)
     for name, (domain, table, value) in SHARES.items():
         registry[name] = _share(domain, table, value)
     for question in findings.QUESTIONS:
