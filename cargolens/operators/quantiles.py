@@ -86,7 +86,7 @@ def exact_quantiles(
     """
     # Columns go by number on the way: joining and grouping by a number is far cheaper.
     numbered = {str(number): name for number, name in enumerate(columns)}
-    doubles = df.select(*[F.col(name).cast("double").alias(no) for no, name in numbered.items()])
+    doubles = df.select(*[F.col(f"`{name}`").cast("double").alias(no) for no, name in numbered.items()])
     values = (
         doubles.unpivot([], list(numbered), "column_no", "value")
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
