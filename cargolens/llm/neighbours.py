@@ -149,12 +149,16 @@ def first_graph(vectors: DataFrame, seeds: list[int], least: float) -> DataFrame
 
 
 def shortened(edges: DataFrame, least: float) -> DataFrame:
-    """Each vector's list: its K nearest neighbours, and its smallest link beside them."""
+    """Each vector's list: its K nearest neighbours, and its smallest link beside them.
+
+    Both are cut in each task before the shuffle, so a vector in a great many lists, as the
+    smallest one of a large component is, sends few rows.
+    """
     edges = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     nearest = W.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-    smallest = W.partitionBy("a").orderBy((F.col("cosine") < least).cast("int"), "b")
-    ranked = edges.withColumns({"near": F.row_number().over(nearest), "small": F.row_number().over(smallest)})
-    return ranked.where((F.col("near") <= K) | (F.col("small") == 1)).select("a", "b", "cosine")
+    near = edges.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= K).drop("place")
+    smallest = edges.where(F.col("cosine") >= least).groupBy("a").agg(F.min(F.struct("b", "cosine")).alias("link"))
+    return near.unionByName(smallest.select("a", "link.*")).distinct()
 
 
 def _compared(batches: Iterator[pa.RecordBatch], least: float):
