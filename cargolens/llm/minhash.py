@@ -30,6 +30,8 @@ SKETCH = 512
 #: At 0.85, 57.6 of them differ on average (deviation 7.1), and more than 93 in less than one
 #: pair of a million; at 0.75 two thirds of the pairs differ in more, at 0.7 nearly all.
 SKETCH_DISTANCE = 93
+#: Members of a key that one task compares with all others of the key.
+PART = 256
 WORDS = 5
 #: Similarity in hundredths.
 LEAST = 85
@@ -235,12 +237,27 @@ class Candidates:
         self._add(close.where(_similar_size(self._least) & (_apart() <= SKETCH_DISTANCE)).select("a", "b"))
 
     def _compare_all_apart(self, placed: DataFrame) -> None:
-        """Compare all members of a key that are in different components."""
-        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        apart = placed.join(several.where("low < high").select("key"), "key").join(self._info.drop("degree"), "doc_id")
-        apart = saved(apart, "apart")
-        one, two = (apart.withColumnsRenamed({c: f"{c}_{side}" for c in apart.columns if c != "key"}) for side in "ab")
-        pairs = one.join(two, "key").where(
+        """Compare all members of a key that are in different components.
+
+        A key with many members is dealt out: each member is in one part as ``a`` and in all
+        parts as ``b``, so no task compares more than PART members with the others.
+        """
+        several = placed.groupBy("key").agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"),
+        )
+        apart = placed.drop("n").join(several.where("low < high").select("key", "parts"), "key")
+        apart = saved(apart.join(self._info.drop("degree"), "doc_id"), "apart")
+        parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        dealt = {"a": F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), "b": parts}
+        one, two = (
+            apart.withColumn("part", part)
+            .drop("parts")
+            .withColumnsRenamed({c: f"{c}_{side}" for c in apart.columns if c not in ("key", "parts")})
+            for side, part in dealt.items()
+        )
+        pairs = one.join(two, ["key", "part"]).where(
             (F.col("doc_id_a") < F.col("doc_id_b"))
             & (F.col("component_a") != F.col("component_b"))
             & _similar_size(self._least)
