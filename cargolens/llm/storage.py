@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _folder_of_one_process() -> str:
+    return tempfile.mkdtemp(prefix="llm-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset, as in tests, a temporary folder is set, which is right only when
-    driver and executors are one process.
+    Where it is unset, as in tests, it is a temporary folder, which is right only when
+    driver and executors are one process; on a cluster an error is raised.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _folder_of_one_process()
     return folder.rstrip("/")
 
 
