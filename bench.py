@@ -16,7 +16,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from cargolens.session import build_session  # noqa: E402
 from workload.queries import mart, queries, raw_items  # noqa: E402
-from workload.tables import with_shared_folder  # noqa: E402
 
 
 def timed(action) -> float:
@@ -37,7 +36,6 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
     )
     spark.sparkContext.setLogLevel("ERROR")
-    with_shared_folder(spark)
     registered = queries()
 
     def run(name: str) -> None:

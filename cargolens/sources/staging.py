@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path that nothing else uses, below the folder named by ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def new_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A path that nothing else uses, below ``folder`` or the one in ``spark.checkpoint.dir``."""
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share, or pass a path")
     return f"{folder.rstrip('/')}/cargolens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

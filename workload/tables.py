@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,11 +16,17 @@ _paths: dict[tuple, str] = {}
 _lock = threading.RLock()
 
 
-def with_shared_folder(spark: SparkSession) -> SparkSession:
-    """Name a temporary folder where no shared one is named and all runs in one process."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cargolens-"))
-    return spark
+@cache
+def _folder_of_one_process() -> str:
+    return tempfile.mkdtemp(prefix="cargolens-")
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The shared folder; a temporary one where none is named and all runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local["):
+        folder = _folder_of_one_process()
+    return folder
 
 
 def state_of(spark: SparkSession, folder: str) -> tuple:
@@ -46,11 +53,10 @@ def stored(
 
     A path is remembered only after ``write`` returned, so a failed write is never read.
     """
-    with_shared_folder(spark)
     key = (spark.sparkContext.applicationId, name, folder, state_of(spark, folder))
     with _lock:
         if key not in _paths:
-            path = new_path(spark, name)
+            path = new_path(spark, name, shared_folder(spark))
             write(path)
             _paths[key] = path
         return read(_paths[key])
