@@ -9,12 +9,17 @@
 3. Lists that are full of links are saturated: more may have been displaced. They are
    enlarged to the whole component that their links reach, compared in blocks, of which
    only the number of links is kept.
-4. An audit compares a bounded sample of vectors with all others. Below the wanted recall,
-   more projections are added and the descent goes on.
+4. An audit compares a sample of vectors with all others and takes the share of its links
+   that was found, vector by vector. Below the wanted recall, more projections are added and
+   the descent goes on; after the last of them, all vectors are compared in blocks.
+
+The number of projections follows the number of vectors: the more there are, the more bits
+two of them have to agree on before they share a block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +42,18 @@ K = 8
 BLOCK = 512
 #: Vectors of a component in one block of its completion.
 LARGE = 1024
+#: Projections in one pass over the vectors; there are as many passes as their number asks for.
 PROJECTIONS = 6
 BITS = 24
 ROUNDS = 4
-AUDITED = 128
+#: Vectors of a sample, at least and at most.
+AUDITED = 512
+MOST_AUDITED = 8192
+#: Members of a component that the audit counts as small.
+SMALL = 4 * K
+#: Searches before all vectors are compared, and vectors that one scan compares with all.
+SEARCHES = 3
+ASKED = 4096
 RECALL = 0.995
 
 
@@ -98,8 +111,8 @@ def _edge_batch(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": a, "b": b, "cosine": c})
 
 
-def _in_order(batches: Iterator[pa.RecordBatch], least: float):
-    """Edges within blocks of consecutive rows of one projection."""
+def _in_order(batches: Iterator[pa.RecordBatch], least: float, size: int):
+    """Edges within blocks of ``size`` consecutive rows of one projection."""
     held: list[tuple[int, int, bytes]] = []
 
     def flush():
@@ -112,7 +125,7 @@ def _in_order(batches: Iterator[pa.RecordBatch], least: float):
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("projection", "id", "unit"))):
-            if held and (len(held) >= BLOCK or held[0][0] != row[0]):
+            if held and (len(held) >= size or held[0][0] != row[0]):
                 yield from flush()
             held.append(row)
     if held:
@@ -145,7 +158,8 @@ def first_graph(vectors: DataFrame, seeds: list[int], least: float) -> DataFrame
     )
     order = ["projection", "code", "id"]
     ordered = codes.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ordered.mapInArrow(lambda x: _in_order(x, least), _EDGES)
+    size = BLOCK
+    return ordered.mapInArrow(lambda x: _in_order(x, least, size), _EDGES)
 
 
 def shortened(edges: DataFrame, least: float) -> DataFrame:
@@ -188,36 +202,97 @@ def _sum_of(graph: DataFrame) -> tuple[int, int]:
     return tuple(graph.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first())
 
 
-def _audit(vectors: DataFrame, parts: DataFrame, least: float, audited: int) -> float:
-    """Share of the links of a sample of vectors, against all, whose ends are in one component.
+def projections_for(n: int, least: float, recall: float) -> int:
+    """Projections after which a pair at ``least`` among ``n`` vectors shares a block with chance ``recall``.
+
+    One bit agrees with probability 1 - angle / pi, and a block is reached after about
+    log2(n / BLOCK) bits; one bit more stands for the block's edges.
+    """
+    bits = min(max(0.0, math.log2(max(n, 1) / BLOCK)) + 1, BITS)
+    met = (1 - math.acos(least) / math.pi) ** bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+
+
+def _against(placed: DataFrame, asked: list, least: float) -> DataFrame:
+    """(a, b, true, found), with b the links from ``asked`` to vectors of other components.
 
-    The sample is bounded by ``audited``, chosen by a hash among the vectors that some
-    projection brought near another one, as the others have no links to miss, and among all.
+    Rows without b count the links of one asked vector, and those within its component.
     """
-    component = F.coalesce("component", "id").alias("component")
-    placed = vectors.join(parts, "id", "left").select("id", "unit", component)
-    chosen = placed.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(audited // 2).collect()
-    linked = vectors.join(parts, "id").select("id", "unit", "component")
-    chosen += linked.orderBy(F.xxhash64("id", F.lit(4)), "id").limit(audited // 2).collect()
-    asked = [(r.id, bytes(r.unit), r.component) for r in chosen]
-
-    def count(batches: Iterator[pa.RecordBatch]):
+    asked = [(r.id, bytes(r.unit), r.component) for r in asked]
+
+    def scan(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             units = batch.column("unit").to_pylist()
-            own = batch.column("component").to_numpy()
-            true = found = 0
+            ids, own = (batch.column(c).to_numpy() for c in ("id", "component"))
             for rows, x in _matrix(units) if units else ():
                 same = [q for q in asked if len(q[1]) == 8 * x.shape[1]]
-                if not same:
-                    continue
-                q = np.frombuffer(b"".join(u for _, u, _ in same), float).reshape(len(same), -1)
-                link = q @ x.T >= least
-                true += int(link.sum())
-                found += int((link & (np.array([c for _, _, c in same])[:, None] == own[rows])).sum())
-            yield pa.RecordBatch.from_pydict({"true": [true], "found": [found]})
+                for at in range(0, len(same), 512):
+                    part = same[at : at + 512]
+                    q = np.frombuffer(b"".join(u for _, u, _ in part), float).reshape(len(part), -1)
+                    name, group = (np.array([r[c] for r in part], np.int64) for c in (0, 2))
+                    link = (q @ x.T >= least) & (name[:, None] != ids[rows])
+                    true = link.sum(axis=1)
+                    some = np.flatnonzero(true)
+                    if not len(some):
+                        continue
+                    across = link & (group[:, None] != own[rows])
+                    i, j = np.nonzero(across)
+                    none, zero = [None] * len(some), np.zeros(len(i), np.int64)
+                    found = (true - across.sum(axis=1))[some]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "a": np.concatenate([name[some], name[i]]),
+                            "b": pa.array(none + ids[rows][j].tolist(), pa.int64()),
+                            "true": np.concatenate([true[some], zero]),
+                            "found": np.concatenate([found, zero]),
+                        }
+                    )
+
+    schema = "a long, b long, true long, found long"
+    return saved(placed.select("id", "unit", "component").mapInArrow(scan, schema), "against")
+
+
+def _placed(vectors: DataFrame, parts: DataFrame) -> DataFrame:
+    """``vectors`` with the component, and its size, of each; the size is null where there is no link."""
+    sized = parts.join(parts.groupBy("component").agg(F.count("*").alias("size")), "component")
+    return vectors.join(sized, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _audit(vectors: DataFrame, parts: DataFrame, least: float, recall: float, seed: int) -> tuple[float, DataFrame]:
+    """(share of a vector's links that were found, on average; the links that were missed).
+
+    The average is over vectors that have a link, but for those in large components, whose
+    many links would hide the others. Two samples, chosen by a hash, stand for them: one of the linked
+    vectors, and one of those without a link, of which every true link was missed. The second
+    one is so large that one miss in it weighs less than the recall allows, up to a bound.
+    """
+    placed = saved(_placed(vectors, parts), "placed")
+    small = placed.where(F.col("size") <= SMALL)
+    loose = placed.where(F.col("size").isNull())
+    n_small, n_loose = small.count(), loose.count()
+    wanted = 2 * n_loose / max(1.0, (1 - recall) * n_small)
+    sizes = (AUDITED, int(min(max(wanted, AUDITED), MOST_AUDITED)))
+    chosen = [
+        table.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(size).collect()
+        for table, size in zip((small, loose), sizes)
+    ]
+    seen = _against(placed, [r for rows in chosen for r in rows], least)
+    count = seen.where(F.col("b").isNull()).groupBy("a").agg(F.sum("true").alias("true"), F.sum("found").alias("found"))
+    share = {r.a: r.found / r.true for r in count.collect()}
+    linked, unlinked = ([share[r.id] for r in rows if r.id in share] for rows in chosen)
+    found = n_small * (sum(linked) / len(linked) if linked else 1.0)
+    missed = n_loose * len(unlinked) / max(1, len(chosen[1]))
+    reached = found / (n_small + missed) if n_small + missed else 1.0
+    return reached, seen.where(F.col("b").isNotNull()).select("a", "b")
+
 
-    true, found = placed.mapInArrow(count, "true long, found long").agg(F.sum("true"), F.sum("found")).first()
-    return found / true if true else 1.0
+def _all_missed(vectors: DataFrame, parts: DataFrame, least: float) -> list[DataFrame]:
+    """The links between components, by comparing all vectors with all, in blocks."""
+    placed = saved(_placed(vectors, parts), "placed")
+    n = -(-placed.count() // ASKED)
+    block = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n))
+    every = (_against(placed, placed.where(block == k).collect(), least) for k in range(n))
+    return [seen.where(F.col("b").isNotNull()).select("a", "b") for seen in every]
 
 
 def _links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
@@ -275,6 +350,13 @@ def completed(vectors: DataFrame, parts: DataFrame, least: float) -> DataFrame:
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _parts(links: DataFrame, extra: list[DataFrame]) -> DataFrame:
+    """The components of the links and of those that a comparison with all has found."""
+    for more in extra:
+        links = links.select("a", "b").unionByName(more)
+    return saved(components(links), "parts")
+
+
 def near_vectors(
     embeddings: DataFrame, least: float = LEAST, projections: int = PROJECTIONS, recall: float = RECALL
 ) -> DataFrame:
@@ -285,8 +367,9 @@ def near_vectors(
     non-finite component, links with nothing, and vectors of different lengths do not link.
     Equal vectors are taken together and count one by one in n_links. A component is named
     by its smallest vec_id, which alone is kept; rows without vec_id are kept by themselves.
-    ``audited_recall`` is the share of an audited sample's links within components. Other
-    columns are ignored; an empty table gives an empty result.
+    ``audited_recall`` is the share of its links within its component that an audited vector
+    has on average; it is 1 where all vectors had to be compared. Other columns are ignored;
+    an empty table gives an empty result.
     """
     units = saved(
         embeddings.select("vec_id", "embedding").mapInArrow(_units, "vec_id long, unit binary"), "units"
@@ -296,11 +379,13 @@ def near_vectors(
     # a repeated vec_id with different vectors stands for the first of them
     vectors = vectors.groupBy("id").agg(F.min("unit").alias("unit"), F.sum("weight").alias("weight"))
     vectors = saved(vectors, "vectors")
-    graph, reached = None, 0.0
-    for tried in range(3):
-        seeds = list(range(tried * projections, (tried + 1) * projections))
-        found = first_graph(vectors, seeds, least)
-        graph = saved(shortened(found if graph is None else graph.unionByName(found), least), "neighbours")
+    wanted = max(projections, projections_for(vectors.count(), least, recall))
+    graph, extra, reached = None, [], 0.0
+    for tried in range(SEARCHES):
+        for first in range(tried * wanted, (tried + 1) * wanted, projections):
+            seeds = list(range(first, min(first + projections, (tried + 1) * wanted)))
+            found = first_graph(vectors, seeds, least)
+            graph = saved(shortened(found if graph is None else graph.unionByName(found), least), "neighbours")
         state = _sum_of(graph)
         for _ in range(ROUNDS):
             graph = descended(vectors, graph, least)
@@ -308,10 +393,15 @@ def near_vectors(
             if now == state:
                 break
             state = now
-        parts = saved(components(graph.where(F.col("cosine") >= least)), "parts")
-        reached = _audit(vectors, parts, least, AUDITED)
+        parts = _parts(graph.where(F.col("cosine") >= least), extra)
+        reached, missed = _audit(vectors, parts, least, recall, tried)
+        extra.append(missed)
         if reached >= recall:
             break
+    else:
+        extra += _all_missed(vectors, parts, least)
+        reached = 1.0
+    parts = _parts(graph.where(F.col("cosine") >= least), extra)
     links = completed(vectors, parts, least)
     placed = vectors.join(parts, "id", "left").join(links, "id", "left").select(
         "unit", "weight", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links")

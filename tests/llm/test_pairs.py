@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cargolens.llm import minhash
+from cargolens.llm import minhash, neighbours
 from cargolens.llm.components import components
 from cargolens.llm.decontamination import Index, contaminated, decontaminated, normal
 from cargolens.llm.minhash import near_duplicates, without_near_duplicates
@@ -110,6 +110,43 @@ def test_vectors(spark):
     assert near_vectors(table.limit(0)).count() == 0
 
 
+def with_partner(rng, x, cosine=0.905):
+    """For every row a unit vector at this cosine."""
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    other = rng.normal(size=x.shape)
+    other -= (other * x).sum(axis=1)[:, None] * x
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    return x, cosine * x + np.sqrt(1 - cosine**2) * other
+
+
+def vectors_of(spark, x):
+    return spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("in_blocks", [False, True])
+def test_isolated_pairs_beside_a_large_group(spark, monkeypatch, in_blocks):
+    """Blocks of few vectors stand for large tables; a group of near copies must not hide what is missed."""
+    monkeypatch.setattr(neighbours, "BLOCK", 2)
+    if in_blocks:  # one projection, a small sample, then all vectors
+        monkeypatch.setattr(neighbours, "projections_for", lambda *_: 1)
+        for name, value in (("SEARCHES", 1), ("PROJECTIONS", 1), ("AUDITED", 20), ("MOST_AUDITED", 20), ("ASKED", 100)):
+            monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(5)
+    one, two = with_partner(rng, rng.normal(size=(500, 64)))
+    group = rng.normal(size=64) + rng.normal(0, 0.01, (600, 64))
+    table = vectors_of(spark, np.concatenate([one, two, group]))
+    got = {r.vec_id: r for r in near_vectors(table, **({"projections": 1} if in_blocks else {})).collect()}
+    pairs = sum(got[500 + i].component_id == i for i in range(500))
+    assert pairs >= (500 if in_blocks else 495)
+    assert {got[i].component_id for i in range(1000, 1600)} == {1000} and got[0].audited_recall >= 0.98
+
+
+def test_projections_follow_the_number_of_vectors():
+    few, many = (neighbours.projections_for(n, 0.9, 0.995) for n in (2_000, 10_000_000))
+    p = 1 - np.arccos(0.9) / np.pi
+    assert few < many and (1 - p ** np.log2(10_000_000 / 512)) ** many <= 0.005
+
+
 def least_edits(pattern: bytes, text: bytes) -> int:
     row = np.zeros(len(text) + 1, int)
     letters, at = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
