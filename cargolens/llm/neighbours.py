@@ -5,10 +5,11 @@
    its nearest neighbours. Different vectors of random directions are far apart, so a list
    holds neighbours from a floor on, below which no two of their neighbours can be linked.
 2. Rounds of descent: neighbours of the same vector are compared with each other, and lists
-   keep the nearest, until hardly any list changes.
-3. Lists that are full of links are saturated: more may have been displaced. They are
-   enlarged to the whole component that their links reach, compared in blocks, of which
-   only the number of links is kept.
+   keep the nearest, until hardly any list changes. Whatever is found linked is joined, by a
+   forest of each compared set, whether or not a list has a place for it.
+3. Lists that are full of links are saturated: more may have been displaced. Their vectors are
+   searched again for neighbours of other components, until no components are joined. In
+   the end components are compared in blocks, of which only the number of links is kept.
 4. An audit compares a sample of vectors with all others and takes the share of its links
    that was found, vector by vector. Below the wanted recall, more projections are added and
    the descent goes on; after the last of them, all vectors are compared in blocks.
@@ -45,7 +46,6 @@ LARGE = 1024
 #: Projections in one pass over the vectors; there are as many passes as their number asks for.
 PROJECTIONS = 6
 BITS = 24
-ROUNDS = 4
 #: Vectors of a sample, at least and at most.
 AUDITED = 512
 MOST_AUDITED = 8192
@@ -85,46 +85,76 @@ def _matrix(units: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     ]
 
 
-def _keep(ids: np.ndarray, x: np.ndarray, least: float):
-    """(a, b, cosine): for each vector its K nearest from FLOOR on and its smallest link."""
-    near = x @ x.T
-    np.fill_diagonal(near, -2)
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first row of its component) for the rows that links join to an earlier one."""
+    some = np.flatnonzero(linked.any(axis=1))
+    near = linked[np.ix_(some, some)]
+    label = np.arange(len(some))
+    while len(some):
+        new = np.minimum(np.where(near, label, len(some)).min(axis=1), label)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    away = label != np.arange(len(some))
+    return some[away], some[label[away]]
+
+
+def _nearest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(near)
+    k = min(K, n - 1)
+    return np.repeat(np.arange(n), k), np.argpartition(-near, k - 1, axis=1)[:, :k].ravel()
+
+
+def _keep(ids: np.ndarray, group: np.ndarray, x: np.ndarray, least: float):
+    """(a, b, cosine, apart, joins) of the compared vectors.
+
+    For each vector, from FLOOR on, its K nearest, its K nearest of other components (``apart``)
+    and its smallest link; and edges that join whatever is linked (``joins``), of which
+    none is cut.
+    """
     n = len(ids)
     if n < 2:
         return []
-    k = min(K, n - 1)
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    a, b = np.repeat(np.arange(n), k), top.ravel()
+    near = x @ x.T
+    np.fill_diagonal(near, -2)
+    apart = group[:, None] != group
     order = np.argsort(ids, kind="stable")
     linked = near[:, order] >= least
     some = np.flatnonzero(linked.any(axis=1))
-    a, b = np.concatenate([a, some]), np.concatenate([b, order[linked[some].argmax(axis=1)]])
+    listed = [_nearest(near), (some, order[linked[some].argmax(axis=1)])]
+    if apart.sum() < n * (n - 1) and apart.any():
+        listed.append(_nearest(np.where(apart, near, -2)))
+    a, b = (np.concatenate(e) for e in zip(*listed))
     good = near[a, b] >= FLOOR
-    return [(ids[a[good]], ids[b[good]], near[a, b][good])] if good.any() else []
+    one, two = _forest(near >= least)
+    joins = np.arange(good.sum() + len(one)) >= good.sum()
+    a, b = np.concatenate([a[good], one]), np.concatenate([b[good], two])
+    return [(ids[a], ids[b], near[a, b], apart[a, b], joins)] if len(a) else []
 
 
-_EDGES = "a long, b long, cosine double"
+_EDGES = "a long, b long, cosine double, apart boolean, joins boolean"
 
 
 def _edge_batch(found) -> pa.RecordBatch:
-    a, b, c = (np.concatenate(x) for x in zip(*found))
-    return pa.RecordBatch.from_pydict({"a": a, "b": b, "cosine": c})
+    columns = ("a", "b", "cosine", "apart", "joins")
+    return pa.RecordBatch.from_pydict({c: np.concatenate(x) for c, x in zip(columns, zip(*found))})
 
 
 def _in_order(batches: Iterator[pa.RecordBatch], least: float, size: int):
     """Edges within blocks of ``size`` consecutive rows of one projection."""
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[int, int, int, bytes]] = []
 
     def flush():
-        units = [u for _, _, u in held]
-        ids = np.array([i for _, i, _ in held], np.int64)
-        found = [e for own, x in _matrix(units) for e in _keep(ids[own], x, least)]
+        units = [u for *_, u in held]
+        ids, group = (np.array([h[c] for h in held], np.int64) for c in (1, 2))
+        found = [e for own, x in _matrix(units) for e in _keep(ids[own], group[own], x, least)]
         held.clear()
         if found:
             yield _edge_batch(found)
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("projection", "id", "unit"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("projection", "id", "component", "unit"))):
             if held and (len(held) >= size or held[0][0] != row[0]):
                 yield from flush()
             held.append(row)
@@ -146,6 +176,7 @@ def _projected(batches: Iterator[pa.RecordBatch], seeds: list[int]):
                 "projection": pa.array(np.tile(seeds, len(units)), pa.int32()),
                 "code": code.ravel(),
                 "id": batch.column(0).take(at),
+                "component": batch.column(2).take(at),
                 "unit": batch.column(1).take(at),
             }
         )
@@ -153,8 +184,8 @@ def _projected(batches: Iterator[pa.RecordBatch], seeds: list[int]):
 
 def first_graph(vectors: DataFrame, seeds: list[int], least: float) -> DataFrame:
     """Edges between vectors that are close in the order of one of the projections."""
-    codes = vectors.select("id", "unit").mapInArrow(
-        lambda x: _projected(x, seeds), "projection int, code long, id long, unit binary"
+    codes = vectors.select("id", "unit", "component").mapInArrow(
+        lambda x: _projected(x, seeds), "projection int, code long, id long, component long, unit binary"
     )
     order = ["projection", "code", "id"]
     ordered = codes.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -165,22 +196,26 @@ def first_graph(vectors: DataFrame, seeds: list[int], least: float) -> DataFrame
 def shortened(edges: DataFrame, least: float) -> DataFrame:
     """Each vector's list: its K nearest neighbours, and its smallest link beside them.
 
-    Both are cut in each task before the shuffle, so a vector in a great many lists, as the
-    smallest one of a large component is, sends few rows.
+    Neighbours of its own component and of others have K places each, so a dense group does
+    not displace what lies across its border. Both are cut in each task before the shuffle,
+    so a vector in a great many lists, as the smallest one of a large component is, sends few
+    rows. Edges that join stay as they are, beside the lists.
     """
-    edges = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    nearest = W.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-    near = edges.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= K).drop("place")
-    smallest = edges.where(F.col("cosine") >= least).groupBy("a").agg(F.min(F.struct("b", "cosine")).alias("link"))
-    return near.unionByName(smallest.select("a", "link.*")).distinct()
+    edges = edges.groupBy("a", "b", "apart").agg(F.max("cosine").alias("cosine"), F.max("joins").alias("joins"))
+    listed = edges.where(F.col("cosine") >= FLOOR).drop("joins")
+    nearest = W.partitionBy("a", "apart").orderBy(F.col("cosine").desc(), "b")
+    near = listed.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= K).drop("place")
+    smallest = listed.where(F.col("cosine") >= least).groupBy("a").agg(F.min(F.struct("b", "cosine", "apart")).alias("link"))
+    lists = near.unionByName(smallest.select("a", "link.*")).distinct().withColumn("joins", F.lit(False))
+    return lists.unionByName(edges.where("joins"))
 
 
 def _compared(batches: Iterator[pa.RecordBatch], least: float):
     for batch in batches:
         found = []
         for near in batch.column("near").to_pylist():
-            ids = np.array([v["id"] for v in near], np.int64)
-            found += [e for own, x in _matrix([v["unit"] for v in near]) for e in _keep(ids[own], x, least)]
+            ids, group = (np.array([v[c] for v in near], np.int64) for c in ("id", "component"))
+            found += [e for own, x in _matrix([v["unit"] for v in near]) for e in _keep(ids[own], group[own], x, least)]
             if len(found) > 10_000:
                 yield _edge_batch(found)
                 found = []
@@ -189,19 +224,16 @@ def _compared(batches: Iterator[pa.RecordBatch], least: float):
 
 
 def descended(vectors: DataFrame, graph: DataFrame, least: float) -> DataFrame:
-    """The graph after comparing the neighbours, forward and reverse, of every vector."""
-    reverse = shortened(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"), least)
+    """The graph, and edges that join, after comparing the neighbours, forward and reverse, of every vector."""
+    turned = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine", "apart", "joins")
+    reverse = shortened(turned, least)
     both = graph.unionByName(reverse).select("a", "b").distinct()
-    around = both.join(vectors.select(F.col("id").alias("b"), "unit"), "b")
-    lists = around.groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("id"), "unit")).alias("near"))
+    around = both.join(vectors.select(F.col("id").alias("b"), "unit", "component"), "b")
+    lists = around.groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("id"), "unit", "component")).alias("near"))
     made = lists.select("near").mapInArrow(lambda x: _compared(x, least), _EDGES)
     return saved(shortened(graph.unionByName(reverse).unionByName(made), least), "neighbours")
 
 
-def _sum_of(graph: DataFrame) -> tuple[int, int]:
-    return tuple(graph.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first())
-
-
 def projections_for(n: int, least: float, recall: float) -> int:
     """Projections after which a pair at ``least`` among ``n`` vectors shares a block with chance ``recall``.
 
@@ -350,13 +382,65 @@ def completed(vectors: DataFrame, parts: DataFrame, least: float) -> DataFrame:
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _parts(links: DataFrame, extra: list[DataFrame]) -> DataFrame:
-    """The components of the links and of those that a comparison with all has found."""
-    for more in extra:
-        links = links.select("a", "b").unionByName(more)
+def _parts(joined: list[DataFrame]) -> DataFrame:
+    """The components of all edges that join."""
+    links = joined[0].select("a", "b")
+    for more in joined[1:]:
+        links = links.unionByName(more.select("a", "b"))
     return saved(components(links), "parts")
 
 
+def _searched(
+    vectors: DataFrame, graph: DataFrame | None, seeds: range, at_once: int, least: float
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(lists, edges that join) after these projections of the vectors and the descent.
+
+    ``vectors`` has the component that each one has so far. The descent ends when less than one
+    row of 1,000 is new in the lists.
+    """
+    joined = []
+
+    def take(made: DataFrame) -> DataFrame:
+        joined.append(made.where("joins"))
+        return made.where("not joins")
+
+    for first in range(seeds.start, seeds.stop, at_once):
+        found = first_graph(vectors, list(range(first, min(first + at_once, seeds.stop))), least)
+        found = found if graph is None else graph.unionByName(found)
+        graph = take(saved(shortened(found, least), "neighbours"))
+    while True:
+        last, graph = graph, take(descended(vectors, graph, least))
+        new = graph.join(last, ["a", "b"], "left_anti").count()
+        if 1000 * new <= graph.count():
+            return graph, joined
+
+
+def _across(
+    vectors: DataFrame, graph: DataFrame, joined: list[DataFrame], seed: int, at_once: int, least: float, recall: float
+) -> list[DataFrame]:
+    """``joined`` and the edges that join components whose vectors have full lists of links.
+
+    A link is displaced only if the lists of both ends are full of links. So these vectors are
+    searched once more, with places of their own for neighbours of other components, until
+    no components are joined any more.
+    """
+    full = graph.where(F.col("cosine") >= least).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= K)
+    full = saved(vectors.join(full.select(F.col("a").alias("id")), "id", "left_semi"), "full")
+    n_full = full.count()
+    wanted = projections_for(n_full, least, recall)
+    parts = _parts(joined)
+    number = parts.select("component").distinct().count()
+    while n_full and number > 1:
+        placed = saved(full.drop("component").join(parts, "id"), "placed")
+        more = _searched(placed, None, range(seed, seed + wanted), at_once, least)[1]
+        joined, seed = [*joined, *more], seed + wanted
+        parts, last = _parts(joined), number
+        number = parts.select("component").distinct().count()
+        if number == last:
+            break
+    return joined
+
+
 def near_vectors(
     embeddings: DataFrame, least: float = LEAST, projections: int = PROJECTIONS, recall: float = RECALL
 ) -> DataFrame:
@@ -380,28 +464,21 @@ def near_vectors(
     vectors = vectors.groupBy("id").agg(F.min("unit").alias("unit"), F.sum("weight").alias("weight"))
     vectors = saved(vectors, "vectors")
     wanted = max(projections, projections_for(vectors.count(), least, recall))
-    graph, extra, reached = None, [], 0.0
+    alone = vectors.withColumn("component", F.col("id"))
+    graph, joined, reached = None, [], 0.0
     for tried in range(SEARCHES):
-        for first in range(tried * wanted, (tried + 1) * wanted, projections):
-            seeds = list(range(first, min(first + projections, (tried + 1) * wanted)))
-            found = first_graph(vectors, seeds, least)
-            graph = saved(shortened(found if graph is None else graph.unionByName(found), least), "neighbours")
-        state = _sum_of(graph)
-        for _ in range(ROUNDS):
-            graph = descended(vectors, graph, least)
-            now = _sum_of(graph)
-            if now == state:
-                break
-            state = now
-        parts = _parts(graph.where(F.col("cosine") >= least), extra)
+        seeds = range(tried * wanted, (tried + 1) * wanted)
+        graph, found = _searched(alone, graph, seeds, projections, least)
+        joined = _across(alone, graph, joined + found, 1_000_000 * (tried + 1), projections, least, recall)
+        parts = _parts(joined)
         reached, missed = _audit(vectors, parts, least, recall, tried)
-        extra.append(missed)
+        joined.append(missed)
         if reached >= recall:
             break
     else:
-        extra += _all_missed(vectors, parts, least)
+        joined += _all_missed(vectors, parts, least)
         reached = 1.0
-    parts = _parts(graph.where(F.col("cosine") >= least), extra)
+    parts = _parts(joined)
     links = completed(vectors, parts, least)
     placed = vectors.join(parts, "id", "left").join(links, "id", "left").select(
         "unit", "weight", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links")

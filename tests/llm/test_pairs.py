@@ -147,6 +147,23 @@ def test_projections_follow_the_number_of_vectors():
     assert few < many and (1 - p ** np.log2(10_000_000 / 512)) ** many <= 0.005
 
 
+def test_one_link_between_two_dense_groups(spark):
+    """Both ends have more than K nearer neighbours, and smaller links, in their own group."""
+    rng = np.random.default_rng(6)
+    u, v = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    angle = np.tile([0.0, 0.8], 50)
+    angle[[50, 71]] = 0.18, 0.62
+    x = np.cos(angle)[:, None] * u + np.sin(angle)[:, None] * v
+    noise = rng.normal(0, 0.008, x.shape)
+    noise[[50, 71]] = 0
+    x += noise
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    assert near[::2, 1::2].sum() == 1 and near[50, 71]
+    got = {r.vec_id: r for r in near_vectors(vectors_of(spark, x)).collect()}
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (near[i].sum() - 1, 0) for i in range(100)}
+
+
 def least_edits(pattern: bytes, text: bytes) -> int:
     row = np.zeros(len(text) + 1, int)
     letters, at = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
