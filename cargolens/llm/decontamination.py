@@ -1,7 +1,8 @@
 """Documents that contain passages of a benchmark, by the q-gram lemma.
 
 Texts are compared as runs of word bytes, without case, blanks and punctuation. Benchmark
-items are cut into overlapping windows. A text region within ``e`` edits of a window of
+items are cut into overlapping windows, long ones for passages with many edits and short
+ones, a few bytes apart, for any part of an item. A text region within ``e`` edits of a window of
 length m shares at least m - q + 1 - q * e of its q-grams, on diagonals at most e apart.
 So shared q-grams are counted in overlapping bands of diagonals, each wide enough to hold
 any such region; bands that reach the bound are verified by a banded alignment.
@@ -21,13 +22,17 @@ from pyspark.sql import functions as F
 from cargolens.llm.textbytes import lowered, mixed, pieces
 from cargolens.llm.textfeatures import WORD
 
-Q = 12
+Q = 10
+#: Word bytes of the shortest item that is looked for.
+LEAST_ITEM = 12
 #: Bytes of a window and of the step to the next one.
 WINDOW, STEP = 120, 60
+#: Bytes of a short window, which stands for any part of an item, and of the step to the next one.
+PART, PART_STEP = 60, 10
 #: One edit is allowed for so many bytes of a window.
 PER_EDIT = 15
 #: Characters of benchmark text that one pass over the documents looks for.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 FILTER_BITS = 22
 
 
@@ -67,11 +72,14 @@ class Index:
             data = np.frombuffer((text or "").encode(), np.uint8)
             body, _ = normal(data, np.array([0, len(data)]))
             n = len(body)
-            if n < Q:
+            if n < LEAST_ITEM:
                 continue
-            starts = [*range(0, max(1, n - WINDOW), STEP), max(0, n - WINDOW)]
-            for at in dict.fromkeys(starts):
-                windows.append(body[at : at + WINDOW])
+            places = {}
+            for size, step in ((WINDOW, STEP), (PART, PART_STEP)):
+                for at in (*range(0, max(1, n - size), step), max(0, n - size)):
+                    places[at, min(at + size, n)] = None
+            for at, end in places:
+                windows.append(body[at:end])
                 self.item.append(item)
         self.length = np.array([len(w) for w in windows], np.int64)
         self.edits = np.minimum(self.length // PER_EDIT, (self.length - Q) // Q)
@@ -175,8 +183,9 @@ def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[Index]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, windows and edits for every document that contains a benchmark item.
 
-    An item is found when one of its windows (120 word bytes, or the whole item if it is
-    shorter) stands in the text with at most one edit for 15 bytes. ``windows`` counts
+    An item is found when one of its windows (120 word bytes every 60 and 60 word bytes every
+    10, or the whole item if it is shorter) stands in the text with at most one edit for 15
+    bytes. So any verbatim part of 69 word bytes is found. ``windows`` counts
     the windows found, ``edits`` is the least of their edits. Null and empty texts, and
     items with under 12 word bytes or no id, find nothing. Repeated documents give rows
     each; other columns are ignored. Either table empty gives an empty result.

@@ -199,6 +199,20 @@ def test_passages_within_the_budget_are_found():
     assert got == {k: (len(v), min(v)) for k, v in want.items()} and got
 
 
+def test_excerpts_cut_at_random_places_are_found():
+    rng = random.Random(4)
+    letters = "abcdefghijklmnop"
+    items = [(i, "".join(rng.choices(letters, k=rng.randint(180, 400)))) for i in range(40)]
+    docs = []
+    for _, text in items:
+        size = rng.randint(69, 110)
+        at = rng.randint(0, len(text) - size)
+        docs.append("".join(rng.choices(letters, k=300)) + text[at : at + size] + "".join(rng.choices(letters, k=300)))
+    ((_, _, data, offsets),) = pieces(pa.array(docs))
+    row, item, _, edits = Index(items).find(data, offsets)
+    assert list(zip(row.tolist(), item, edits.tolist())) == [(i, i, 0) for i in range(40)]
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     items = [(i, prose(rng, 40)) for i in range(12)] + [(50, None), (51, ""), (52, "short"), (None, prose(rng, 40))]
