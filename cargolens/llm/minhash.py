@@ -7,11 +7,13 @@ pigeonhole principle, a chunk with at most one error, so they agree on one of th
 leave one value of one chunk out. Joining on these keys finds every such pair.
 
 At the least similarity of 0.85, 7.2 of the 48 values differ on average and more than 23 in
-less than one pair of 10 million.
+less than one pair of 10 million. At 0.8 it is one of 300,000; lower similarities, at which it
+would be more than one of 100,000, are refused.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,6 @@ CHUNKS, WIDTH = 12, 4
 VALUES = CHUNKS * WIDTH
 #: The sketch that is compared before sets are: two bits of each of 512 minima.
 SKETCH = 512
-#: At 0.85, 57.6 of them differ on average (deviation 7.1), and more than 93 in less than one
-#: pair of a million; at 0.75 two thirds of the pairs differ in more, at 0.7 nearly all.
-SKETCH_DISTANCE = 93
 #: Members of a key that one task compares with all others of the key.
 PART = 256
 WORDS = 5
@@ -161,6 +160,27 @@ def _apart() -> Column:
     return sum(F.bit_count(differ(h).bitwiseOR(differ(low))) for h, low in zip(HIGH, LOW))
 
 
+def sketch_distance(least: int) -> int:
+    """The most minima whose bits differ for a pair to be compared: 5 deviations above the mean.
+
+    Of a pair at the least similarity, the share 3/4 of the different minima show in two bits:
+    at 0.85, 57.6 of 512 on average (deviation 7.1), and more than 93 in less than one
+    pair of a million.
+    """
+    share = 0.75 * (100 - least) / 100
+    return int(SKETCH * share + 5 * math.sqrt(SKETCH * share * (1 - share)))
+
+
+def checked(least: int) -> int:
+    """``least`` if the keys find all but one of 100,000 pairs at it, else an error."""
+    p = (100 - least) / 100
+    beyond = range(2 * CHUNKS, VALUES + 1)
+    missed = sum(math.comb(VALUES, k) * p**k * (1 - p) ** (VALUES - k) for k in beyond)
+    if not 0 < least <= 100 or missed > 1e-5:
+        raise ValueError(f"the signature does not find all pairs at a similarity of {least} hundredths")
+    return least
+
+
 def _similar_size(least: int) -> Column:
     a, b = F.col("n_shingles_a"), F.col("n_shingles_b")
     return (100 * b >= least * a) & (100 * a >= least * b)
@@ -234,7 +254,7 @@ class Candidates:
         pairs = rest.join(two, "key").select("doc_id", F.explode(F.array("one.doc_id", "two")).alias("centre"))
         pairs = pairs.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
         close = self._with(pairs.distinct(), self._info.drop("degree", *LANES))
-        self._add(close.where(_similar_size(self._least) & (_apart() <= SKETCH_DISTANCE)).select("a", "b"))
+        self._add(close.where(_similar_size(self._least) & (_apart() <= sketch_distance(self._least))).select("a", "b"))
 
     def _compare_all_apart(self, placed: DataFrame) -> None:
         """Compare all members of a key that are in different components.
@@ -261,7 +281,7 @@ class Candidates:
             (F.col("doc_id_a") < F.col("doc_id_b"))
             & (F.col("component_a") != F.col("component_b"))
             & _similar_size(self._least)
-            & (_apart() <= SKETCH_DISTANCE)
+            & (_apart() <= sketch_distance(self._least))
             & _first_shared()
         )
         self._add(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
@@ -282,8 +302,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     128 bits agree, are one from the start, and links are confirmed on full sets. Rows that
     repeat a doc_id are copies of one document if their texts agree. A null doc_id is kept and
     names no component. Other
-    columns are ignored. An empty table gives an empty result.
+    columns are ignored. An empty table gives an empty result. A ``least`` too small for the
+    signature raises ValueError.
     """
+    checked(least)
     signed = signatures(docs, words)
     full = signed.where("n_shingles > 0")
     print_of = ["n_shingles", "set_one", "set_two"]

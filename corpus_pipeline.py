@@ -16,6 +16,10 @@ from cargolens.llm.secrets import redacted
 from cargolens.llm.storage import saved
 
 
+#: Similarity of near duplicates in hundredths; op8 by itself has its own.
+NEAR = 80
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -26,8 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return without_near_duplicates(docs)
+    """One document of each group of near duplicates, at 0.8 of their shingles, stays."""
+    return without_near_duplicates(docs, least=NEAR)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

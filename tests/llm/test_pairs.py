@@ -69,6 +69,19 @@ def test_near_duplicates(spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_sketches_of_pairs_at_the_least_similarity_pass():
+    rng = np.random.default_rng(9)
+    for least in (80, 85, 95):
+        apart = rng.binomial(minhash.SKETCH, 0.75 * (100 - least) / 100, 100_000)
+        assert (apart > minhash.sketch_distance(least)).sum() <= 2
+    assert minhash.sketch_distance(85) == 93
+
+
+def test_similarities_that_the_signature_cannot_find_are_refused(spark):
+    with pytest.raises(ValueError):
+        near_duplicates(documents(spark), least=75)
+
+
 def test_every_key_pair_within_the_distance_is_found():
     """The pigeonhole guarantee: signatures with at most 23 different values share a key."""
     rng = np.random.default_rng(1)
