@@ -130,6 +130,13 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(token_pieces(table(spark, folder, "documents")))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Proofs of all documents, checked with some of them tampered with."""
+    from cargolens.llm.merkle import manifest, proofs, verified
+
+    return verified(proofs(manifest(table(spark, folder, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
@@ -144,11 +151,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_near_duplicates,
         op9_secrets,
         op10_best_fit_packing,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in numbered} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    from cargolens.llm import licenses
+    from cargolens.llm import licenses, merkle
 
-    return {"op1_chat_format": OP1_SQL, "op5_licenses": licenses.sql()}
+    return {"op1_chat_format": OP1_SQL, "op5_licenses": licenses.sql(), "op13_merkle_manifest": merkle.sql()}
