@@ -130,6 +130,20 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(token_pieces(table(spark, folder, "documents")))
 
 
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents."""
+    from cargolens.llm.personal import personal_data
+
+    return personal_data(table(spark, folder, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The best documents for every benchmark item."""
+    from cargolens.llm.ranking import ranked
+
+    return ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Proofs of all documents, checked with some of them tampered with."""
     from cargolens.llm.merkle import manifest, proofs, verified
@@ -151,12 +165,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_near_duplicates,
         op9_secrets,
         op10_best_fit_packing,
+        op11_personal_data,
+        op12_ranked_search,
         op13_merkle_manifest,
     )
     return {f.__name__: f for f in numbered} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    from cargolens.llm import licenses, merkle
-
-    return {"op1_chat_format": OP1_SQL, "op5_licenses": licenses.sql(), "op13_merkle_manifest": merkle.sql()}
+    from cargolens.llm import licenses, merkle, ranking
+
+    return {
+        "op1_chat_format": OP1_SQL,
+        "op5_licenses": licenses.sql(),
+        "op12_ranked_search": ranking.sql(),
+        "op13_merkle_manifest": merkle.sql(),
+    }
