@@ -36,6 +36,12 @@ PARTS = {
     "on_time_n": lambda: F.count_if(on_time()),
 }
 
+# The columns that parts are made of.
+MEASURE_COLUMNS = (
+    "order_id", "sales", "profit", "profit_margin_pct", "shipping_delay_days", "discount_rate",
+    "is_late", "late_delivery_risk", "delivery_status",
+)
+
 # Each measure as a formula over parts; ``part`` turns a part's name into an aggregate.
 MEASURES = {
     "order_items": lambda part: part("items"),

@@ -47,7 +47,7 @@ def _cleaned_columns(df: DataFrame, strip_text: bool = True) -> list[Column]:
     return columns
 
 
-def _complete() -> Column:
+def complete_row() -> Column:
     """Both core measures are there."""
     present = F.lit(True)
     for name in _REQUIRED:
@@ -55,21 +55,26 @@ def _complete() -> Column:
     return present
 
 
+def clean_rows(raw: DataFrame) -> DataFrame:
+    """``clean`` without dropping any row."""
+    return raw.select(*_cleaned_columns(raw))
+
+
 def clean(raw: DataFrame) -> DataFrame:
     """Parse dates, strip text, drop unused columns, fill gaps, drop incomplete rows.
 
     Rows whose dates cannot be read stay, with null dates. Text is stripped before gaps
     are filled, so a blank last name becomes empty and not ``Unknown``.
     """
-    return raw.select(*_cleaned_columns(raw)).where(_complete())
+    return clean_rows(raw).where(complete_row())
 
 
 def _counters(columns: list[str]) -> list[Column]:
     gaps = reduce(add, [F.col(f"`{c}`").isNull().cast("int") for c in columns])
     return [
         F.count("*").alias("original_rows"),
-        F.count_if(_complete()).alias("cleaned_rows"),
-        F.coalesce(F.sum(F.when(_complete(), gaps)), F.lit(0)).alias("missing_after"),
+        F.count_if(complete_row()).alias("cleaned_rows"),
+        F.coalesce(F.sum(F.when(complete_row(), gaps)), F.lit(0)).alias("missing_after"),
     ]
 
 
@@ -106,4 +111,4 @@ def clean_and_observe(raw: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame
         counted = raw.sparkSession.createDataFrame([row], ", ".join(f"{n} bigint" for n in names))
         return _summary(counted, before, after)
 
-    return tidy.observe(seen, *_counters(tidy.columns)).where(_complete()), summary
+    return tidy.observe(seen, *_counters(tidy.columns)).where(complete_row()), summary

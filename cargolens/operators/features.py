@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +51,13 @@ def margin_feature(df: DataFrame) -> DataFrame:
     )
 
 
+#: The quartile edges, ends included.
+REVENUE_PROBABILITIES = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
 def revenue_band_edges(df: DataFrame) -> DataFrame:
     """One row: the three inner quartiles of sales, and whether all five edges differ."""
-    probabilities = (0.0, 0.25, 0.5, 0.75, 1.0)
+    probabilities = REVENUE_PROBABILITIES
     quantiles = exact_quantiles(df, ["sales"], probabilities)
     edge = [F.max(F.when(F.col("probability") == p, F.col("value"))) for p in probabilities]
     distinct = F.size(F.collect_set("value")) == len(probabilities)
@@ -63,7 +69,7 @@ def revenue_band_edges(df: DataFrame) -> DataFrame:
     )
 
 
-def revenue_band(sales: Column, edges: Column) -> Column:
+def revenue_band(sales: Column, edges: Column | Mapping[str, Column]) -> Column:
     low, medium, high, top = (F.lit(band) for band in REVENUE_BANDS)
     band = (
         F.when(sales <= edges["q1"], low)
@@ -74,6 +80,14 @@ def revenue_band(sales: Column, edges: Column) -> Column:
     return F.when(edges["separate"], band).otherwise(F.lit(FALLBACK_BAND))
 
 
+def band_of_edges(sales: Column, edges: Sequence[float] | None) -> Column:
+    """The band for edges that are known as numbers, as stored ones are."""
+    if edges is None:
+        return F.lit(None).cast("string")
+    known = {f"q{i}": F.lit(edges[i]) for i in (1, 2, 3)}
+    return revenue_band(sales, known | {"separate": F.lit(len(set(edges)) == len(edges))})
+
+
 def revenue_feature(df: DataFrame) -> DataFrame:
     """Quarter of all sales the row falls into.
 

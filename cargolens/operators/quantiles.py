@@ -19,7 +19,7 @@ _COARSE_PER_UNIT = 512  # bins per unit of log(1 + |value|): about 0.2 % wide
 _FINE_BINS = 16384
 
 
-def _coarse_bin() -> Column:
+def coarse_bin() -> Column:
     """A bin number that never decreases as the value grows."""
     return F.floor(F.signum("value") * F.log1p(F.abs("value")) * _COARSE_PER_UNIT)
 
@@ -94,7 +94,7 @@ def exact_quantiles(
     )
 
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    coarse = _histogram(values, _coarse_bin(), "column_no").withColumns(
+    coarse = _histogram(values, coarse_bin(), "column_no").withColumns(
         {
             "last": F.sum("n").over(W.partitionBy("column_no")) - 1,
             "start": F.lit(0).cast("bigint"),

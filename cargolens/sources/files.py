@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.operators.ordering import first_rows
@@ -19,6 +19,8 @@ def read_csv(
     multi_line: bool = False,
     na_tokens: Iterable[str] = NA_TOKENS,
     types: Mapping[str, str] | None = None,
+    source: str | None = None,
+    rejected: str | None = None,
 ) -> DataFrame:
     """Read order-item CSV files under canonical names and declared types.
 
@@ -32,15 +34,30 @@ def read_csv(
 
     Files are split at any size. ``multi_line`` keeps quoted line breaks in one cell, but
     makes every file one split.
+
+    ``source`` names a column that gets the file of the row, and ``rejected`` one that gets the
+    cells that were there and could not be cast, as (column, text); both are made in the same
+    parse.
     """
     parts = [path] if isinstance(path, str) else list(path)
-    tables = [_read_layout(spark, p, encoding, multi_line, list(na_tokens), types or {}) for p in parts]
+    tables = [
+        read_layout(spark, p, encoding, multi_line, na_tokens, types, source, rejected) for p in parts
+    ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def _read_layout(
-    spark: SparkSession, path: str, encoding: str, multi_line: bool, tokens: list[str], types: Mapping[str, str]
+def read_layout(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    encoding: str = "ISO-8859-1",
+    multi_line: bool = False,
+    na_tokens: Iterable[str] = NA_TOKENS,
+    types: Mapping[str, str] | None = None,
+    source: str | None = None,
+    rejected: str | None = None,
 ) -> DataFrame:
+    """``read_csv`` of files that all have one header, in a single scan."""
+    tokens, types = list(na_tokens), types or {}
     cells = (
         spark.read.option("header", True)
         .option("inferSchema", False)
@@ -49,18 +66,35 @@ def _read_layout(
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
-        .csv(path)
+        .csv(path if isinstance(path, str) else list(path))
     )
-    columns = []
+    columns, failed = [], []
     for header in cells.columns:
         name, kind = RAW_COLUMNS.get(header, (header, "string"))
         kind = types.get(header, kind)
         text = F.col(f"`{header}`")
         present = F.when(~text.isin(tokens), text)
-        columns.append((present if kind == "string" else present.try_cast(kind)).alias(name))
+        if kind == "string":
+            columns.append(present.alias(name))
+            continue
+        value = present.try_cast(kind)
+        columns.append(value.alias(name))
+        failed.append(F.when(present.isNotNull() & value.isNull(), rejected_cell(name, text)))
+    if source:
+        columns.append(F.col("_metadata.file_path").alias(source))
+    if rejected:
+        columns.append(F.array_compact(F.array(*failed).cast(REJECTED)).alias(rejected))
     return cells.select(*columns)
 
 
+#: Type of a column of rejected cells.
+REJECTED = "array<struct<column:string,text:string>>"
+
+
+def rejected_cell(name: str, text: Column) -> Column:
+    return F.struct(F.lit(name).alias("column"), text.alias("text"))
+
+
 def read_order_items(spark: SparkSession, path: str) -> DataFrame:
     """Prepared order items that ``write_mart`` stored; a filter on the year prunes files."""
     return spark.read.parquet(path)
@@ -73,6 +107,7 @@ def write_csv(
     limit: int | None = None,
     raw_headers: bool = False,
     encoding: str = "UTF-8",
+    mode: str = "errorifexists",
 ) -> None:
     """Write the chosen columns as CSV with a header, every row unless ``limit`` is set.
 
@@ -85,7 +120,7 @@ def write_csv(
     if raw_headers:
         out = out.withColumnsRenamed({c: HEADER_OF[c] for c in out.columns if c in HEADER_OF})
     (
-        out.write.mode("errorifexists")
+        out.write.mode(mode)
         .option("header", True)
         .option("encoding", encoding)
         .option("quote", '"')

@@ -95,6 +95,19 @@ mart AS (
 )"""
 )
 
+# What a mart holds after its files came, changed and went: five units of orders and half of a
+# sixth, with cells that are no numbers missing.
+REFRESHED = MART.replace("raw AS (", "raw_all AS (", 1).replace(
+    "cleaned AS (",
+    """raw AS (
+  SELECT * REPLACE (CASE WHEN order_id % 37 = 5 THEN NULL ELSE days_real END AS days_real,
+    CASE WHEN order_id % 41 = 7 THEN NULL ELSE discount_rate END AS discount_rate)
+  FROM raw_all WHERE order_id % 8 IN (0, 1, 3, 4, 6) OR order_id % 16 = 2
+),
+cleaned AS (""",
+    1,
+)
+
 # The selection the filter queries use.
 CHOSEN = (
     "order_year IN (1996, 1997, 1998) AND market IN ('ASIA', 'EUROPE') "
@@ -220,6 +233,10 @@ def _mart(select: str) -> str:
     return f"WITH {MART}\n{select}"
 
 
+def _refreshed(select: str) -> str:
+    return f"WITH {REFRESHED}\n{select}"
+
+
 def _raw(select: str) -> str:
     return f"WITH {RAW}\n{select}"
 
@@ -679,6 +696,30 @@ def oracle_sql() -> dict[str, str]:
         "summary_filtered_sales_by_region": f"WITH {MART}{FILTERED}\n"
         + _grouped("order_region", "total_sales", source="chosen"),
         "summary_insights": _insights("mart"),
+        "summary_kpis": _mart(f"SELECT {KPIS} FROM mart"),
+        "summary_filtered_kpis": _mart(f"SELECT {KPIS} FROM mart WHERE {CHOSEN}"),
+        "summary_market_order_count": _mart(_grouped("market", "total_orders")),
+        "summary_unique_customers": _mart("SELECT count(DISTINCT customer_id) AS unique_customers FROM mart"),
+        "refreshed_mart": _refreshed(
+            "SELECT order_id, customer_id, product_name, market, CAST(sales AS DOUBLE) AS sales, "
+            "CAST(profit AS DOUBLE) AS profit, discount_rate, days_real, order_year, shipping_delay_days, "
+            "is_late, round(profit_margin_pct, 6) AS profit_margin_pct, revenue_band FROM mart"
+        ),
+        "refreshed_edges": _refreshed(
+            "SELECT round(q[1], 6) AS q1, round(q[2], 6) AS q2, round(q[3], 6) AS q3 FROM edges"
+        ),
+        "refreshed_kpis": _refreshed(f"SELECT {KPIS} FROM mart"),
+        "refreshed_filtered_kpis": _refreshed(f"SELECT {KPIS} FROM mart WHERE {CHOSEN}"),
+        "refreshed_orders_by_market": _refreshed(_grouped("market", "total_orders")),
+        "refreshed_insights": _insights("mart").replace(MART, REFRESHED),
+        "rejected_cells": _refreshed("")
+        + """, cells AS (
+  SELECT order_id, 'days_real' AS column, 'x' || CAST(days_real AS VARCHAR) AS text FROM raw_all WHERE order_id % 37 = 5
+  UNION ALL SELECT order_id, 'discount_rate', 'free' FROM raw_all WHERE order_id % 41 = 7
+  UNION ALL SELECT order_id, 'order_date_raw', order_date_raw FROM raw_all
+    WHERE try_strptime(order_date_raw, '%m/%d/%Y %H:%M') IS NULL)
+SELECT CAST(order_id % 8 AS INTEGER) AS unit, "column", text, count(*) AS cells FROM cells
+WHERE order_id % 8 IN (0, 1, 3, 4, 6) OR order_id % 16 = 2 GROUP BY ALL""",
         "dataset_shape": _raw(
             f"SELECT count(*) AS row_count, CAST({len(RAW_TYPES)} AS INTEGER) AS column_count FROM raw"
         ),

@@ -18,16 +18,19 @@ from cargolens.functions.text import fmt_currency, fmt_number, fmt_percent
 from cargolens.operators import deepdive, quality
 from cargolens.operators.cleaning import clean, clean_summary
 from cargolens.operators.cube import metrics_cube
-from cargolens.operators.facets import explore, facet_filter, facet_options, filter_coverage
+from cargolens.operators.distinct_sets import as_sets, count_sets, key_places
+from cargolens.operators.facets import Selection, explore, facet_filter, facet_options, filter_coverage
 from cargolens.operators.features import prepare
 from cargolens.operators.reports import loss_flag, report, share_of_total
-from cargolens.operators.summary import summarize, summary_report
+from cargolens.operators.summary import SUMMARY_DIMENSIONS, summarize, summary_report
 from cargolens.plans import findings
 from cargolens.plans.facts import facts_of_summary
-from cargolens.plans.kpis import distinct_count, kpis, kpis_long
+from cargolens.plans.kpis import distinct_count, kpis, kpis_long, kpis_of_summary
 from cargolens.schema import FEATURE_COLUMNS
 from cargolens.sources.files import read_csv, read_order_items, write_csv, write_mart
+from cargolens.sources.incremental import IncrementalMart
 from cargolens.sources.star import bind_star_schema
+from workload import refreshing
 from workload.tables import stage, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +75,27 @@ def summary(spark: SparkSession, folder: str) -> DataFrame:
     return stage(spark, "summary", folder, lambda: summarize(mart(spark, folder)))
 
 
+def sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and customers of the summary's groups."""
+
+    def build() -> DataFrame:
+        places = lambda: key_places(mart(spark, folder), SUMMARY_DIMENSIONS, ("order_id", "customer_id"))
+        return as_sets(stage(spark, "places", folder, places))
+
+    return stage(spark, "sets", folder, build)
+
+
+def refreshed(spark: SparkSession, folder: str) -> IncrementalMart:
+    """The mart that has been refreshed after its input changed."""
+    return stored(
+        spark,
+        "refreshed",
+        folder,
+        lambda path: refreshing.write_states(raw_items(spark, folder), path),
+        lambda path: IncrementalMart(spark, f"{path}/mart", types=refreshing.TYPES),
+    )
+
+
 def comparable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Types and precision that both engines share."""
     columns = []
@@ -101,6 +125,22 @@ def _on_summary(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: comparable(build(summary(spark, folder)))
 
 
+def _on_sets(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: comparable(build(sets(spark, folder)))
+
+
+def _on_refreshed(build: Callable[[IncrementalMart], DataFrame]) -> Query:
+    return lambda spark, folder: comparable(build(refreshed(spark, folder)))
+
+
+def _summary_kpis(selection: Selection) -> Query:
+    return lambda spark, folder: comparable(
+        kpis_of_summary(
+            facet_filter(summary(spark, folder), selection), facet_filter(sets(spark, folder), selection)
+        )
+    )
+
+
 # Query name -> (domain, report).
 REPORTS = {
     "sales_monthly_trend": ("sales", "monthly_trend"),
@@ -404,6 +444,26 @@ def queries() -> dict[str, Query]:
         "summary_insights": _on_summary(
             lambda groups: findings.insights_of(facts_of_summary(groups))
         ),
+        "summary_kpis": _summary_kpis({}),
+        "summary_filtered_kpis": _summary_kpis(SELECTION),
+        "summary_market_order_count": _on_sets(
+            lambda found: count_sets(found.where("key = 'order_id'"), "market").select(
+                "market", F.col("distinct").alias("total_orders")
+            )
+        ),
+        "summary_unique_customers": _on_sets(
+            lambda found: count_sets(found.where("key = 'customer_id'")).select(
+                F.col("distinct").alias("unique_customers")
+            )
+        ),
+        # a mart that was refreshed after files came, changed and went
+        "refreshed_mart": _on_refreshed(refreshing.refreshed_rows),
+        "refreshed_edges": _on_refreshed(refreshing.refreshed_edges),
+        "refreshed_kpis": _on_refreshed(lambda mart: refreshing.refreshed_kpis(mart, {})),
+        "refreshed_filtered_kpis": _on_refreshed(lambda mart: refreshing.refreshed_kpis(mart, SELECTION)),
+        "refreshed_orders_by_market": _on_refreshed(refreshing.refreshed_orders_by_market),
+        "refreshed_insights": _on_refreshed(refreshing.refreshed_insights),
+        "rejected_cells": _on_refreshed(refreshing.rejected_cells),
         # quality
         "dataset_shape": _on_raw(quality.dataset_shape),
         "column_types": _on_raw(quality.column_types),

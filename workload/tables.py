@@ -6,6 +6,7 @@ import tempfile
 import threading
 from collections.abc import Callable
 from functools import cache
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +47,9 @@ def stored(
     spark: SparkSession,
     name: str,
     folder: str,
-    write: Callable[[str], None],
-    read: Callable[[str], DataFrame],
-) -> DataFrame:
+    write: Callable[[str], object],
+    read: Callable[[str], Any],
+) -> Any:
     """The table ``name`` made from ``folder``, written anew when the input has changed.
 
     A path is remembered only after ``write`` returned, so a failed write is never read.
