@@ -47,6 +47,34 @@ def facet_options(df: DataFrame, facets: Sequence[str] = FACETS) -> DataFrame:
     )
 
 
+def drill_options(df: DataFrame, selection: Selection, facets: Sequence[str] = FACETS) -> DataFrame:
+    """Rows ``(facet, option, items, chosen)``: what each facet offers under the choices in the others.
+
+    An option's items obey the choices in all facets but its own, so a sidebar shows what adding
+    the option would bring. One scan: every row gets a bit for each facet whose choice it fails. A
+    row without any counts for all facets, one with a single bit for that facet alone, and
+    others leave before anything is multiplied. Options without items are not listed.
+    """
+    unknown = set(selection) - set(facets)
+    if unknown:
+        raise ValueError(f"not a facet: {sorted(unknown)}")
+    active = {f: list(values) for f, values in selection.items() if values}
+    bit = {f: 1 << i for i, f in enumerate(facets)}
+    fails = [
+        F.when(F.coalesce(F.col(f).isin(*values), F.lit(False)), 0).otherwise(bit[f]) for f, values in active.items()
+    ]
+    failed = reduce(lambda a, b: a.bitwiseOR(b), fails, F.lit(0))
+    rows = df.select(failed.alias("failed"), *[F.col(f).cast("string").alias(f) for f in facets])
+    counted = rows.where(F.bit_count("failed") <= 1).unpivot(["failed"], list(facets), "facet", "option")
+    bits = F.coalesce(*[F.when(F.col("facet") == f, b) for f, b in bit.items()])
+    counted = counted.where(F.col("option").isNotNull() & ((F.col("failed") == 0) | (F.col("failed") == bits)))
+    chosen = [
+        F.when(F.col("facet") == f, F.col("option").isin(*[str(v) for v in values])) for f, values in active.items()
+    ]
+    counted = counted.groupBy("facet", "option").agg(F.count("*").alias("items"))
+    return counted.withColumn("chosen", F.coalesce(*chosen, F.lit(False))).orderBy("facet", "option")
+
+
 def filter_coverage(df: DataFrame, selection: Selection) -> DataFrame:
     """Matching rows, all rows and their percentage, in one pass."""
     matching = F.count_if(facet_predicate(selection))

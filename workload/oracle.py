@@ -114,6 +114,38 @@ CHOSEN = (
     "AND shipping_mode IN ('Same Day', 'Standard Class')"
 )
 
+# All eight facets, and what each of them allows.
+CHOICES = {
+    "order_year": "order_year BETWEEN 1995 AND 1999",
+    "market": "market IN ('ASIA', 'EUROPE', 'AMERICA')",
+    "order_region": "order_region IN ('ASIA West', 'ASIA East', 'EUROPE West', 'AMERICA West')",
+    "customer_segment": "customer_segment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')",
+    "department_name": "true",
+    "shipping_mode": "shipping_mode IN ('Standard Class', 'First Class')",
+    "order_status": "order_status IN ('COMPLETE', 'PENDING')",
+    "delivery_status": "delivery_status IN ('Late delivery', 'Advance shipping')",
+}
+SHOWN = (
+    "SELECT order_id, market, order_region, customer_segment, product_name, shipping_mode, "
+    "order_status, CAST(sales AS DOUBLE) AS sales, CAST(profit AS DOUBLE) AS profit, discount_rate FROM mart"
+)
+FILTER_ALL = f"{SHOWN} WHERE " + " AND ".join(CHOICES.values())
+
+
+def _drill(choices: dict[str, str]) -> str:
+    """Options of every facet under the choices in the others."""
+    rows = []
+    for facet in CHOICES:
+        others = [c for f, c in choices.items() if f != facet and c != "true"]
+        own = choices.get(facet, "true")
+        chosen = "false" if own == "true" else f"any_value({own})"
+        rows.append(
+            f"SELECT '{facet}' AS facet, CAST({facet} AS VARCHAR) AS option, count(*) AS items, {chosen} AS chosen "
+            f"FROM mart WHERE {' AND '.join([f'{facet} IS NOT NULL', *others])} GROUP BY {facet}"
+        )
+    return " UNION ALL ".join(rows)
+
+
 # Aggregates by result column.
 AGGREGATES = {
     "total_sales": "CAST(coalesce(sum(sales), 0) AS DOUBLE)",
@@ -645,6 +677,20 @@ def oracle_sql() -> dict[str, str]:
                           "department_name", "shipping_mode", "order_status", "delivery_status")
             ])
         ),
+        "drill_options": _mart(
+            _drill(
+                {
+                    "order_year": "order_year IN (1996, 1997, 1998)",
+                    "market": "market IN ('ASIA', 'EUROPE')",
+                    "shipping_mode": "shipping_mode IN ('Same Day', 'Standard Class')",
+                }
+            )
+        ),
+        "drill_options_all": _mart(_drill(CHOICES)),
+        "drill_options_free": _mart(_drill({})),
+        "clustered_facet_filter": _mart(f"{SHOWN} WHERE {CHOSEN}"),
+        "clustered_facet_filter_all": _mart(FILTER_ALL),
+        "clustered_kpis": _mart(f"SELECT {KPIS} FROM mart WHERE {CHOSEN}"),
         "filter_coverage": _mart(
             f"SELECT count(*) FILTER ({CHOSEN}) AS filtered_rows, count(*) AS total_rows, "
             f"round(count(*) FILTER ({CHOSEN}) / count(*) * 100, 1) AS filtered_pct FROM mart"
@@ -762,17 +808,7 @@ WHERE order_id % 8 IN (0, 1, 3, 4, 6) OR order_id % 16 = 2 GROUP BY ALL""",
             "SELECT order_id, order_year, market, CAST(sales AS DOUBLE) AS sales, "
             "CAST(profit AS DOUBLE) AS profit FROM mart WHERE order_year IN (1997, 1999)"
         ),
-        "facet_filter_all": _mart(
-            "SELECT order_id, market, order_region, customer_segment, product_name, shipping_mode, "
-            "order_status, CAST(sales AS DOUBLE) AS sales, CAST(profit AS DOUBLE) AS profit, "
-            "discount_rate FROM mart WHERE order_year BETWEEN 1995 AND 1999 "
-            "AND market IN ('ASIA', 'EUROPE', 'AMERICA') "
-            "AND order_region IN ('ASIA West', 'ASIA East', 'EUROPE West', 'AMERICA West') "
-            "AND customer_segment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') "
-            "AND shipping_mode IN ('Standard Class', 'First Class') "
-            "AND order_status IN ('COMPLETE', 'PENDING') "
-            "AND delivery_status IN ('Late delivery', 'Advance shipping')"
-        ),
+        "facet_filter_all": _mart(FILTER_ALL),
         "late_risk_scorecard_weekly": _mart(
             "SELECT strftime(date_trunc('week', order_ts), '%Y-%m-%d') AS week_start, shipping_mode, "
             "order_region, count(*) AS order_items, round(avg(late_delivery_risk) * 100, 6) AS late_risk_pct, "

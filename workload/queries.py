@@ -19,7 +19,7 @@ from cargolens.operators import deepdive, quality
 from cargolens.operators.cleaning import clean, clean_summary
 from cargolens.operators.cube import metrics_cube
 from cargolens.operators.distinct_sets import as_sets, count_sets, key_places
-from cargolens.operators.facets import Selection, explore, facet_filter, facet_options, filter_coverage
+from cargolens.operators.facets import Selection, drill_options, explore, facet_filter, facet_options, filter_coverage
 from cargolens.operators.features import prepare
 from cargolens.operators.reports import loss_flag, report, share_of_total
 from cargolens.operators.summary import SUMMARY_DIMENSIONS, summarize, summary_report
@@ -27,7 +27,7 @@ from cargolens.plans import findings
 from cargolens.plans.facts import facts_of_summary
 from cargolens.plans.kpis import distinct_count, kpis, kpis_long, kpis_of_summary
 from cargolens.schema import FEATURE_COLUMNS
-from cargolens.sources.files import read_csv, read_order_items, write_csv, write_mart
+from cargolens.sources.files import read_csv, read_order_items, write_clustered, write_csv, write_mart
 from cargolens.sources.incremental import IncrementalMart
 from cargolens.sources.star import bind_star_schema
 from workload import refreshing
@@ -296,6 +296,21 @@ def mart_by_year(spark: SparkSession, folder: str) -> DataFrame:
     return comparable(chosen.select("order_id", "order_year", "market", "sales", "profit"))
 
 
+def clustered(spark: SparkSession, folder: str) -> DataFrame:
+    """The mart stored along a Z-order curve through its facets."""
+    return stored(
+        spark,
+        "mart-clustered",
+        folder,
+        lambda path: write_clustered(mart(spark, folder), path),
+        lambda path: read_order_items(spark, path),
+    )
+
+
+def _on_clustered(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: comparable(build(clustered(spark, folder)))
+
+
 def _describe_gaps(df: DataFrame) -> DataFrame:
     """A profile with a column that is missing everywhere."""
     return quality.numeric_describe(
@@ -405,6 +420,16 @@ def queries() -> dict[str, Query]:
         # facets
         "facet_filter": _on_mart(lambda df: facet_filter(df, SELECTION).select(*EXPORT_COLUMNS)),
         "facet_options": _on_mart(facet_options),
+        "drill_options": _on_mart(lambda df: drill_options(df, SELECTION)),
+        "drill_options_all": _on_mart(lambda df: drill_options(df, FULL_SELECTION)),
+        "drill_options_free": _on_mart(lambda df: drill_options(df, {})),
+        "clustered_facet_filter": _on_clustered(
+            lambda df: facet_filter(df, SELECTION).select(*EXPORT_COLUMNS)
+        ),
+        "clustered_facet_filter_all": _on_clustered(
+            lambda df: facet_filter(df, FULL_SELECTION).select(*EXPORT_COLUMNS)
+        ),
+        "clustered_kpis": _on_clustered(lambda df: kpis(facet_filter(df, SELECTION))),
         "filter_coverage": _on_mart(lambda df: filter_coverage(df, SELECTION)),
         "filtered_kpis": _on_mart(lambda df: kpis(facet_filter(df, SELECTION))),
         "on_time_rate": _on_mart(_on_time_rate),
