@@ -360,16 +360,20 @@ def fitted_tagger(docs: DataFrame, labelled: DataFrame | None = None, fit_rows:
     into pieces of ``fit_rows`` documents. Rows are chosen by a hash and put in order, so the
     model does not depend on how the table is dealt out.
     """
-    if labelled is None:
-        none = F.array().cast("array<struct<start:long,end:long,kind:string>>")
-        rows = docs.where(F.length("text") > 0).select("text", none.alias("spans"), F.xxhash64("doc_id").alias("place"))
-    else:
-        rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "spans", F.xxhash64("text").alias("place"))
+    none = F.array().cast("array<struct<start:long,end:long,kind:string>>")
     made = labelled is None
-    chosen = rows.orderBy("place", "text").limit(fit_rows).drop("place")
+    if made:
+        rows = docs.where(F.length("text") > 0).select("text", none.alias("spans"), F.xxhash64("doc_id", "text").alias("place"))
+    else:
+        rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("spans", none).alias("spans"))
+        rows = rows.withColumn("place", F.xxhash64("text", F.to_json("spans")))
+    # hashes are chosen first, so only the chosen texts move, and repeated rows count once
+    places = rows.select("place").distinct().orderBy("place").limit(fit_rows)
+    chosen = rows.join(F.broadcast(places), "place").groupBy("place")
+    chosen = chosen.agg(F.first("text").alias("text"), F.first("spans").alias("spans")).drop("place")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        table = [(r["text"], r["spans"] or []) for b in batches for r in b.to_pylist()]
+        table = [(r["text"], r["spans"]) for b in batches for r in b.to_pylist()]
         table.sort(key=repr)
         if made:
             given = examples([t for t, _ in table], n)

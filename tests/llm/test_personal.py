@@ -182,7 +182,7 @@ def test_query_columns(spark, model, monkeypatch):
 
 
 def test_fitted_on_given_labels_and_without_rows(spark):
-    rows = [("id 12-34 x", [(3, 8, "card")]), (None, None), ("", [])]
+    rows = [("id 12-34 x", [(3, 8, "card")])] * 3 + [(None, None), ("", [])]
     labelled = spark.createDataFrame(rows, "text string, spans array<struct<start:long,end:long,kind:string>>")
     assert personal.fitted_tagger(no_documents(spark), labelled).tags == 9
     assert symbols("aé").tolist() == [98, 129]
