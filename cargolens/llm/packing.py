@@ -5,8 +5,8 @@
 2. Patterns of such few sizes that fit a sequence are found by column generation: a linear
    program over the patterns known so far prices the sizes, a knapsack finds the pattern
    worth most, until none improves. Whole multiples of each pattern are opened.
-3. Actual documents take the places of their group, the longest first, so what rounding up
-   had reserved becomes free again.
+3. Actual documents take the places of their group, the longest first; the last place of a pattern
+   takes the longest document that fits, so what rounding up had reserved is used.
 4. Everything else, small lengths and what whole multiples left over, goes from the longest
    down into the opened sequence with the least room that suffices, or into a new one.
 
@@ -34,10 +34,10 @@ from cargolens.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 #: Groups of equal cardinality that the large lengths are dealt into.
-GROUPS = 40
-#: Lengths up to this share of the capacity are small. Each is tried, and the plan with the
-#: fewest sequences is taken: rounding up pays only where few small pieces can fill the rest.
-SMALL = (0.2, 0.35, 0.5)
+GROUPS = 80
+#: Lengths up to this share of the capacity are small, so patterns have up to three places. Both
+#: are tried, and the plan with fewer sequences is taken.
+SMALL = (0.3, 0.35)
 
 
 @dataclass
@@ -137,6 +137,8 @@ class Plan:
         self._capacity = capacity
         self.runs: list[Run] = []
         self.sequences = 0
+        #: Sequences that patterns opened, by the number of a pattern's places.
+        self.by_places: dict[int, int] = {}
         self._open: list[list[Bins]] = [[] for _ in range(capacity + 1)]
         self._fill_patterns(groups_of(self.left, int(capacity * small), k))
         self._best_fit()
@@ -147,44 +149,45 @@ class Plan:
         self.left[length] -= count
 
     def _fill_patterns(self, groups: list[tuple[int, int]]) -> None:
-        """Open the sequences of every pattern and give each place to an actual piece."""
-        stock, at = [], len(self.left) - 1
-        room = self.left.copy()
-        for _, n in groups:
-            own = []
-            while n:
-                while not room[at]:
-                    at -= 1
-                got = int(min(n, room[at]))
-                own.append([at, got])
-                room[at] -= got
-                n -= got
-            stock.append(own)
-        for pattern, times in patterns(groups, self._capacity):
+        """Open the sequences of every pattern and give each place to an actual piece.
+
+        Patterns go by their longest place. A place of a group takes the longest piece left that is
+        not over the group's size. The last place of a pattern takes the longest that is not over
+        the room that rounding up has left, so most sequences end up full.
+        """
+        self._lengths = np.flatnonzero(self.left).tolist()
+        sizes = [size for size, _ in groups]
+        for pattern, times in sorted(patterns(groups, self._capacity), key=lambda p: int(np.flatnonzero(p[0])[0])):
+            places = [sizes[g] for g in np.flatnonzero(pattern) for _ in range(pattern[g])]
             opened = [Bins(self.sequences, times, 0)]
-            self.sequences += times
-            for g in np.flatnonzero(pattern):
-                for _ in range(pattern[g]):
-                    opened = self._place(opened, stock[g])
+            for size in places[:-1]:
+                opened = self._place(opened, size)
+            opened = self._place(opened, self._capacity)
             for run in opened:
-                self._open[self._capacity - run.used].append(run)
-
-    def _place(self, opened: list[Bins], own: list[list[int]]) -> list[Bins]:
-        """One piece of a group into each sequence; where the length changes, runs split."""
+                if not run.used:  # no piece is left for it: it is not opened
+                    continue
+                self.sequences = max(self.sequences, run.first + run.count)
+                self.by_places[len(places)] = self.by_places.get(len(places), 0) + run.count
+                if run.used < self._capacity:
+                    self._open[self._capacity - run.used].append(run)
+
+    def _place(self, opened: list[Bins], size: int) -> list[Bins]:
+        """The longest piece up to ``size`` into each sequence; where the length changes, runs split."""
         made = []
         for run in opened:
             first, count = run.first, run.count
-            while count and own:
-                length, n = own[0]
-                got = min(n, count)
+            while count:
+                at = bisect.bisect_right(self._lengths, min(size, self._capacity - run.used)) - 1
+                if at < 0:
+                    made.append(Bins(first, count, run.used))
+                    break
+                length = self._lengths[at]
+                got = min(int(self.left[length]), count)
                 self._take(length, got, first, 1, run.used)
+                if not self.left[length]:
+                    self._lengths.pop(at)
                 made.append(Bins(first, got, run.used + length))
-                own[0][1] -= got
-                if not own[0][1]:
-                    own.pop(0)
                 first, count = first + got, count - got
-            if count:
-                made.append(Bins(first, count, run.used))
         return made
 
     def _best_fit(self) -> None:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from cargolens.llm import textbytes, tokens
-from cargolens.llm.packing import Plan, pack, token_pieces
+from cargolens.llm.packing import GROUPS, SMALL, Plan, pack, token_pieces
 from cargolens.llm.token_files import SequenceReader, open_file, read_token_files, write_token_files
 from tests.llm.fixtures import documents, no_documents, texts
 
@@ -118,3 +118,24 @@ def test_plans_are_gapless_and_whole():
                 assert offset == at
                 at += length
             assert at <= 20
+
+
+def test_patterns_of_several_places_carry_the_plan():
+    rng = np.random.default_rng(2)
+    for n in (3_000, 60_000):
+        lengths = np.minimum(rng.lognormal(6.3, 0.9, n).astype(int) + 1, 2048)
+        counts = np.bincount(lengths, minlength=2049)
+        least = -(-int(lengths.sum()) // 2048)
+        plans = [Plan(counts, 2048, GROUPS, small) for small in SMALL]
+        assert min(p.sequences for p in plans) <= 1.002 * least + 1
+        for plan in plans:
+            several = sum(k for places, k in plan.by_places.items() if places > 1)
+            assert several >= 0.2 * plan.sequences
+
+
+def test_places_take_the_longest_that_fit():
+    # two groups, 6 and 4: the pattern of both is opened five times, and its last place takes 5 before 4
+    counts = np.bincount([6] * 5 + [5] * 2 + [4] * 3, minlength=12)
+    plan = Plan(counts, 11, 2, 0.2)
+    assert plan.sequences == 5 and plan.by_places.get(2, 0) >= 4
+    assert sorted(r.length for r in plan.runs for _ in range(r.count)) == [4] * 3 + [5] * 2 + [6] * 5
