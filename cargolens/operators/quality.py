@@ -13,6 +13,7 @@ from cargolens.functions.measures import percent
 from cargolens.operators.cleaning import parse_date
 from cargolens.operators.ordering import first_rows
 from cargolens.operators.quantiles import exact_quantiles
+from cargolens.operators.samples import DRAW, with_draw
 from cargolens.schema import CATEGORICAL_COLUMNS
 
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
@@ -198,6 +199,5 @@ def sample_rows(
 
     The draw depends on the data alone: partitioning and retries cannot change it.
     """
-    texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    drawn = df.select(*columns, F.md5(F.concat_ws("|", F.lit(str(seed)), *texts)).alias("__draw"))
-    return first_rows(drawn, ["__draw", *columns], n).drop("__draw")
+    drawn = with_draw(df, keys, seed).select(*columns, DRAW)
+    return first_rows(drawn, [DRAW, *columns], n).drop(DRAW)

@@ -146,6 +146,22 @@ def _drill(choices: dict[str, str]) -> str:
     return " UNION ALL ".join(rows)
 
 
+CUSTOMERS = (
+    "SELECT customer_id, customer_fname, customer_lname, CAST(sum(sales) AS DOUBLE) AS total_sales, "
+    "customer_fname || ' ' || customer_lname AS customer_name FROM mart "
+    "WHERE customer_id IS NOT NULL AND customer_fname IS NOT NULL "
+    "GROUP BY customer_id, customer_fname, customer_lname "
+    "ORDER BY sum(sales) DESC, customer_id, customer_fname, customer_lname LIMIT {rows}"
+)
+SAMPLE = (
+    "SELECT discount_rate, CAST(profit AS DOUBLE) AS profit FROM ("
+    "SELECT discount_rate, profit FROM mart ORDER BY md5('42|' || "
+    "coalesce(CAST(order_id AS VARCHAR), '') || '|' || "
+    "coalesce(CAST(customer_id AS VARCHAR), '') || '|' || "
+    "coalesce(CAST(sales AS VARCHAR), '') || '|' || coalesce(CAST(profit AS VARCHAR), '')), "
+    "discount_rate, profit LIMIT 5000)"
+)
+
 # Aggregates by result column.
 AGGREGATES = {
     "total_sales": "CAST(coalesce(sum(sales), 0) AS DOUBLE)",
@@ -766,6 +782,49 @@ def oracle_sql() -> dict[str, str]:
     WHERE try_strptime(order_date_raw, '%m/%d/%Y %H:%M') IS NULL)
 SELECT CAST(order_id % 8 AS INTEGER) AS unit, "column", text, count(*) AS cells FROM cells
 WHERE order_id % 8 IN (0, 1, 3, 4, 6) OR order_id % 16 = 2 GROUP BY ALL""",
+        "refreshed_sample": _refreshed(SAMPLE),
+        "refreshed_profile": _refreshed(
+            _union([
+                f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 4) AS mean, "
+                f"round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, "
+                f"round(CAST(max({c}) AS DOUBLE), 4) AS max FROM mart"
+                for c in ("sales", "profit", "discount_rate", "days_real", "days_scheduled",
+                          "shipping_delay_days", "profit_margin_pct")
+            ])
+        ),
+        "threshold_top_customers": _mart(CUSTOMERS.format(rows=20)),
+        "threshold_top_products_by_sales": _mart(
+            _grouped("product_name", "total_sales", "ORDER BY total_sales DESC, product_name LIMIT 15")
+        ),
+        "threshold_bottom_products": _mart(
+            _grouped("product_name", "total_profit", "ORDER BY total_profit, product_name LIMIT 10")
+        ),
+        "explorer_third_page": _mart(
+            f"SELECT {shown_ts} AS order_ts, market, order_region, customer_segment, "
+            "department_name, category_name, product_name, shipping_mode, delivery_status, "
+            "order_status, CAST(sales AS DOUBLE) AS sales, CAST(profit AS DOUBLE) AS profit, "
+            "round(profit_margin_pct, 6) AS profit_margin_pct, shipping_delay_days FROM ("
+            "SELECT * FROM mart ORDER BY order_ts NULLS LAST, market, order_region, "
+            "customer_segment, department_name, category_name, product_name, shipping_mode, "
+            "delivery_status, order_status, sales, profit, profit_margin_pct, shipping_delay_days "
+            "LIMIT 500 OFFSET 1000)"
+        ),
+        "bucketed_avg_order_value": _mart(
+            "SELECT round(CAST(sum(order_sales) AS DOUBLE) / count(*), 6) AS avg_order_value, "
+            f"count(*) AS orders FROM {ORDER_VALUES}"
+        ),
+        "bucketed_order_value_range": _mart(
+            "SELECT CAST(min(order_sales) AS DOUBLE) AS min_order_value, "
+            f"CAST(max(order_sales) AS DOUBLE) AS max_order_value FROM {ORDER_VALUES}"
+        ),
+        "summary_discount_profit_corr": _mart(
+            "SELECT round(corr(discount_rate, CAST(profit AS DOUBLE)), 6) AS pearson_r FROM mart"
+        ),
+        "summary_discount_profit_deviations": _mart(
+            "SELECT count(discount_rate) AS pairs, round(avg(discount_rate), 6) AS mean_x, "
+            "round(stddev_samp(discount_rate), 6) AS std_x, round(avg(CAST(profit AS DOUBLE)), 6) AS mean_y, "
+            "round(stddev_samp(CAST(profit AS DOUBLE)), 6) AS std_y FROM mart"
+        ),
         "dataset_shape": _raw(
             f"SELECT count(*) AS row_count, CAST({len(RAW_TYPES)} AS INTEGER) AS column_count FROM raw"
         ),
@@ -833,14 +892,7 @@ FROM capped WHERE category_name IS NOT NULL GROUP BY 1, 2""",
             )
             for name, (dims, column, by, way, rows) in RESORTED.items()
         },
-        "top_customers_100": _mart(
-            "SELECT customer_id, customer_fname, customer_lname, "
-            "CAST(sum(sales) AS DOUBLE) AS total_sales, "
-            "customer_fname || ' ' || customer_lname AS customer_name FROM mart "
-            "WHERE customer_id IS NOT NULL AND customer_fname IS NOT NULL "
-            "GROUP BY customer_id, customer_fname, customer_lname "
-            "ORDER BY sum(sales) DESC, customer_id, customer_fname, customer_lname LIMIT 100"
-        ),
+        "top_customers_100": _mart(CUSTOMERS.format(rows=100)),
         "missing_values": _raw(
             "SELECT * FROM ("
             + _union([
@@ -881,22 +933,8 @@ FROM capped WHERE category_name IS NOT NULL GROUP BY 1, 2""",
             + TIME.format("max(try_strptime(order_date_raw, '%m/%d/%Y %H:%M'))")
             + " AS last_order FROM raw"
         ),
-        "discount_profit_sample": _mart(
-            "SELECT discount_rate, CAST(profit AS DOUBLE) AS profit FROM ("
-            "SELECT discount_rate, profit FROM mart ORDER BY md5('42|' || "
-            "coalesce(CAST(order_id AS VARCHAR), '') || '|' || "
-            "coalesce(CAST(customer_id AS VARCHAR), '') || '|' || "
-            "coalesce(CAST(sales AS VARCHAR), '') || '|' || coalesce(CAST(profit AS VARCHAR), '')), "
-            "discount_rate, profit LIMIT 5000)"
-        ),
-        "top_customers": _mart(
-            "SELECT customer_id, customer_fname, customer_lname, "
-            "CAST(sum(sales) AS DOUBLE) AS total_sales, "
-            "customer_fname || ' ' || customer_lname AS customer_name FROM mart "
-            "WHERE customer_id IS NOT NULL AND customer_fname IS NOT NULL "
-            "GROUP BY customer_id, customer_fname, customer_lname "
-            "ORDER BY sum(sales) DESC, customer_id, customer_fname, customer_lname LIMIT 20"
-        ),
+        "discount_profit_sample": _mart(SAMPLE),
+        "top_customers": _mart(CUSTOMERS.format(rows=20)),
         "late_risk_rate": _mart(
             f"SELECT {_aggregates('late_risk_pct')}, "
             "CAST(sum(late_delivery_risk) AS BIGINT) AS late_risk_items, count(*) AS order_items FROM mart"

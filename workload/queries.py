@@ -21,13 +21,16 @@ from cargolens.operators.cube import metrics_cube
 from cargolens.operators.distinct_sets import as_sets, count_sets, key_places
 from cargolens.operators.facets import Selection, drill_options, explore, facet_filter, facet_options, filter_coverage
 from cargolens.operators.features import prepare
+from cargolens.operators.moments import comoments_of, correlation, deviations, merged_comoments
+from cargolens.operators.paging import page
 from cargolens.operators.reports import loss_flag, report, share_of_total
 from cargolens.operators.summary import SUMMARY_DIMENSIONS, summarize, summary_report
+from cargolens.operators.top_keys import top_keys
 from cargolens.plans import findings
 from cargolens.plans.facts import facts_of_summary
 from cargolens.plans.kpis import distinct_count, kpis, kpis_long, kpis_of_summary
-from cargolens.schema import FEATURE_COLUMNS
-from cargolens.sources.files import read_csv, read_order_items, write_clustered, write_csv, write_mart
+from cargolens.schema import EXPLORER_COLUMNS, FEATURE_COLUMNS
+from cargolens.sources.files import read_csv, read_order_items, write_bucketed, write_clustered, write_csv, write_mart
 from cargolens.sources.incremental import IncrementalMart
 from cargolens.sources.star import bind_star_schema
 from workload import refreshing
@@ -311,6 +314,57 @@ def _on_clustered(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: comparable(build(clustered(spark, folder)))
 
 
+def bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """The mart's orders and sales, dealt into buckets by order."""
+
+    def write(path: str) -> None:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        items = mart(spark, folder).select("order_id", "sales")
+        write_bucketed(items, _table_at(path), path, "order_id", buckets)
+
+    return stored(spark, "bucketed", folder, write, lambda path: spark.table(_table_at(path)))
+
+
+def _table_at(path: str) -> str:
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
+def comoments(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(
+        spark,
+        "comoments",
+        folder,
+        lambda: mart(spark, folder).groupBy(*SUMMARY_DIMENSIONS).agg(*comoments_of("discount_rate", "profit")),
+    )
+
+
+def _on_bucketed(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: comparable(build(bucketed(spark, folder)))
+
+
+def _on_comoments(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: comparable(build(merged_comoments(comoments(spark, folder))))
+
+
+def _threshold_customers(df: DataFrame) -> DataFrame:
+    names = ("customer_id", "customer_fname", "customer_lname")
+    best = top_keys(df, names, "sales", 20).withColumnRenamed("total", "total_sales")
+    return best.withColumn("customer_name", F.concat_ws(" ", *names[1:]))
+
+
+def _threshold_products(df: DataFrame, value: str, name: str, n: int, largest: bool = True) -> DataFrame:
+    return top_keys(df, ["product_name"], value, n, largest).withColumnRenamed("total", name)
+
+
+def _third_page(df: DataFrame) -> DataFrame:
+    """The third of the explorer's pages of 500 rows, each found from the one before."""
+    after = None
+    for _ in range(3):
+        shown = page(df, EXPLORER_COLUMNS, 500, after, EXPLORER_COLUMNS)
+        after = shown.after
+    return df.sparkSession.createDataFrame(shown.rows, df.select(*EXPLORER_COLUMNS).schema)
+
+
 def _describe_gaps(df: DataFrame) -> DataFrame:
     """A profile with a column that is missing everywhere."""
     return quality.numeric_describe(
@@ -489,6 +543,21 @@ def queries() -> dict[str, Query]:
         "refreshed_orders_by_market": _on_refreshed(refreshing.refreshed_orders_by_market),
         "refreshed_insights": _on_refreshed(refreshing.refreshed_insights),
         "rejected_cells": _on_refreshed(refreshing.rejected_cells),
+        "refreshed_sample": _on_refreshed(refreshing.refreshed_sample),
+        "refreshed_profile": _on_refreshed(refreshing.refreshed_profile),
+        # the best of very many keys, pages, orders without an exchange, moments of stored groups
+        "threshold_top_customers": _on_mart(_threshold_customers),
+        "threshold_top_products_by_sales": _on_mart(
+            lambda df: _threshold_products(df, "sales", "total_sales", 15)
+        ),
+        "threshold_bottom_products": _on_mart(
+            lambda df: _threshold_products(df, "profit", "total_profit", 10, largest=False)
+        ),
+        "explorer_third_page": _on_mart(_third_page),
+        "bucketed_avg_order_value": _on_bucketed(deepdive.avg_order_value_by_order),
+        "bucketed_order_value_range": _on_bucketed(deepdive.order_value_range),
+        "summary_discount_profit_corr": _on_comoments(correlation),
+        "summary_discount_profit_deviations": _on_comoments(deviations),
         # quality
         "dataset_shape": _on_raw(quality.dataset_shape),
         "column_types": _on_raw(quality.column_types),
