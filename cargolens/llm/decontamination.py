@@ -7,7 +7,9 @@ length m shares at least m - q + 1 - q * e of its q-grams, on diagonals at most
 So shared q-grams are counted in overlapping bands of diagonals, each wide enough to hold
 any such region; bands that reach the bound are verified by a banded alignment.
 
-There is no shuffle: the benchmark goes to the documents, in blocks of bounded size.
+There is no shuffle: the benchmark goes to the documents, in blocks of bounded size, and what a
+block finds is written before the next one is read. Texts and items that repeat a few syllables
+share grams everywhere; they are counted and aligned in slices of bounded size.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cargolens.llm.storage import saved
 from cargolens.llm.textbytes import lowered, mixed, pieces
 from cargolens.llm.textfeatures import WORD
 
@@ -31,8 +34,11 @@ WINDOW, STEP = 120, 60
 PART, PART_STEP = 60, 10
 #: One edit is allowed for so many bytes of a window.
 PER_EDIT = 15
-#: Characters of benchmark text that one pass over the documents looks for.
-BLOCK_CHARS = 2_000_000
+#: Characters of benchmark text that one pass over the documents looks for; an index takes about
+#: 200 bytes for each.
+BLOCK_CHARS = 400_000
+#: Shared q-grams counted, and regions aligned, at a time.
+MOST_HITS, MOST_ALIGNED = 2_000_000, 20_000
 FILTER_BITS = 22
 
 
@@ -100,7 +106,11 @@ class Index:
     half = WINDOW // PER_EDIT + 1
 
     def hits(self, text: np.ndarray, offsets: np.ndarray):
-        """(text number, window, diagonal) of every shared q-gram within a text."""
+        """(text number, window, diagonal, end) of the shared q-grams within a text, in slices.
+
+        A slice has about MOST_HITS of them; texts that repeat a gram of a window again and again
+        share hundreds at every byte. No later slice has a diagonal below ``end`` - WINDOW.
+        """
         keys = grams(text)
         at = np.flatnonzero(self.filter[slot(keys)])
         row = np.searchsorted(offsets, at, "right") - 1
@@ -108,23 +118,46 @@ class Index:
         at, row = at[inside], row[inside]
         first = np.searchsorted(self.keys, keys[at])
         count = np.searchsorted(self.keys, keys[at], "right") - first
-        which = np.repeat(np.arange(len(at)), count)
-        post = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(which))
-        return row[which], self.window[post], at[which] - self.place[post]
+        upto = np.cumsum(count)
+        begin = 0
+        while begin < len(at):
+            done = int(upto[begin - 1]) if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(upto, done + MOST_HITS, "right")))
+            some = slice(begin, stop)
+            which = np.repeat(np.arange(begin, stop), count[some])
+            before = upto[some] - count[some] - done
+            post = np.repeat(first[some] - before, count[some]) + np.arange(len(which))
+            end = int(at[stop]) if stop < len(at) else len(text) + 2 * WINDOW
+            yield row[which], self.window[post], at[which] - self.place[post], end
+            begin = stop
 
     def regions(self, text: np.ndarray, offsets: np.ndarray):
-        """(text number, window, first diagonal) of bands that reach the lemma's bound."""
-        row, window, diagonal = self.hits(text, offsets)
-        shifted = diagonal + WINDOW
-        band = np.concatenate([shifted // self.half, shifted // self.half - 1])
-        bands = (len(text) + 2 * WINDOW) // self.half + 2
-        pair = row * len(self.length) + window
-        key = np.concatenate([pair, pair]) * bands + band + 1
-        found, count = np.unique(key, return_counts=True)
-        pair, band = found // bands, found % bands - 1
-        row, window = pair // len(self.length), pair % len(self.length)
-        enough = count >= self.least[window]
-        return row[enough], window[enough], band[enough] * self.half - WINDOW
+        """(text number, window, first diagonal, shared grams) of bands that reach the lemma's bound.
+
+        Bands that no later slice can add to are settled slice by slice.
+        """
+        key, count = np.empty(0, np.int64), np.empty(0, np.int64)
+        settled = []
+        for row, window, diagonal, end in self.hits(text, offsets):
+            shifted = diagonal + WINDOW
+            # bands first, so that settled ones stand at the front
+            own = ((shifted // self.half)[None, :] + np.array([[1], [0]])) * len(self.length) + window
+            own = own * (len(offsets) - 1) + row
+            found, n = np.unique(own, return_counts=True)
+            key, place = np.unique(np.concatenate([key, found]), return_inverse=True)
+            count = np.bincount(place, np.concatenate([count, n]), len(key)).astype(np.int64)
+            open_from = (end // self.half) * len(self.length) * (len(offsets) - 1)
+            ready = int(np.searchsorted(key, open_from))
+            settled.append((key[:ready], count[:ready]))
+            key, count = key[ready:], count[ready:]
+        settled.append((key, count))
+        out = []
+        for key, count in settled:
+            pair, row = np.divmod(key, len(offsets) - 1)
+            band, window = np.divmod(pair, len(self.length))
+            enough = count >= self.least[window]
+            out.append((row[enough], window[enough], (band[enough] - 1) * self.half - WINDOW, count[enough]))
+        return tuple(np.concatenate(parts) for parts in zip(*out))
 
     def aligned(self, text, offsets, row, window, first) -> np.ndarray:
         """The least edits that turn a window into a part of its text near these diagonals.
@@ -149,13 +182,37 @@ class Index:
             answer[ended] = cost[ended].min(axis=1)
         return answer
 
+    def matches(self, text: np.ndarray, offsets: np.ndarray):
+        """(text number, window, least edits) of every pair with a band that reaches the bound.
+
+        Of a pair's bands the one with most shared grams is aligned first. Others follow, a
+        bounded number at a time, unless the window was found without any edit.
+        """
+        row, window, first, shared = self.regions(text, offsets)
+        pair = row * len(self.length) + window
+        order = np.lexsort((first, -shared, pair))
+        pair, first = pair[order], first[order]
+        known, begin = np.unique(pair, return_index=True)
+        width = np.diff(np.append(begin, len(pair)))
+        nth = np.arange(len(pair)) - np.repeat(begin, width)
+        which = np.repeat(np.arange(len(known)), width)
+        edits = np.full(len(known), WINDOW, np.int64)
+        low, high = 0, 1
+        while low < int(width.max(initial=0)):
+            todo = np.flatnonzero((nth >= low) & (nth < high) & (edits[which] > 0))
+            for a in range(0, len(todo), MOST_ALIGNED):
+                some = todo[a : a + MOST_ALIGNED]
+                cost = self.aligned(text, offsets, *np.divmod(pair[some], len(self.length)), first[some])
+                np.minimum.at(edits, which[some], cost)
+            low, high = high, high * 8
+        return *np.divmod(known, len(self.length)), edits
+
     def find(self, data: np.ndarray, offsets: np.ndarray):
         """(text number, item, windows found, least edits) of every item found in a text."""
         text, offsets = normal(data, offsets)
         if not len(self.length) or len(text) < Q:
             return np.empty(0, np.int64), [], np.empty(0, np.int64), np.empty(0, np.int64)
-        row, window, first = self.regions(text, offsets)
-        edits = self.aligned(text, offsets, row, window, first)
+        row, window, edits = self.matches(text, offsets)
         good = edits <= self.edits[window]
         best: dict[tuple[int, int], dict[int, int]] = {}
         for r, w, e in zip(row[good].tolist(), window[good].tolist(), edits[good].tolist()):
@@ -170,14 +227,15 @@ class Index:
         )
 
 
-def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[Index]:
-    """Indexes of the items, dealt by a hash of the id into blocks of about ``block_chars``."""
+def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[Index, bool]]:
+    """Indexes of the items, dealt by a hash of the id into blocks of about ``block_chars``, and
+    whether another follows. The driver holds one at a time."""
     items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull())
     (total,) = items.agg(F.sum(F.length("text"))).first()
     n = -(-(total or 0) // block_chars)
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Index([tuple(r) for r in part.orderBy("item_id", "text").collect()])
+        yield Index([tuple(r) for r in part.orderBy("item_id", "text").collect()]), k + 1 < n
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -192,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
     """
     schema = "doc_id long, item_id long, windows long, edits long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in blocks(benchmark, block_chars):
+    for index, more in blocks(benchmark, block_chars):
 
         def scan(batches: Iterator[pa.RecordBatch], index: Index = index):
             for batch in batches:
@@ -207,13 +265,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
                         }
                     )
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(scan, schema))
+        found = docs.select("doc_id", "text").mapInArrow(scan, schema)
+        out = out.unionByName(saved(found, "matches") if more else found)
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents, all columns, in which no benchmark item is found."""
-    for index in blocks(benchmark, block_chars):
+    for index, more in blocks(benchmark, block_chars):
 
         def clean(batches: Iterator[pa.RecordBatch], index: Index = index):
             for batch in batches:
@@ -223,4 +282,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLO
                 yield batch.filter(pa.array(kept))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if more:
+            docs = saved(docs, "clean-so-far")
     return docs

@@ -12,6 +12,7 @@ import pytest
 
 from cargolens.llm import minhash, neighbours
 from cargolens.llm.components import components
+from cargolens.llm import decontamination
 from cargolens.llm.decontamination import Index, contaminated, decontaminated, normal
 from cargolens.llm.minhash import near_duplicates, without_near_duplicates
 from cargolens.llm.neighbours import near_vectors
@@ -242,3 +243,52 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in rows if i not in (3, 9))
     assert decontaminated(docs, benchmark.limit(0)).count() == len(rows)
     assert contaminated(no_documents(spark), benchmark).count() == 0
+
+
+def plain_least_edits(window: bytes, text: bytes) -> int:
+    """Least edits that turn the window into some part of the text."""
+    last = [0] * (len(text) + 1)
+    for i, c in enumerate(window, 1):
+        row = [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(last[j - 1] + (c != d), last[j] + 1, row[-1] + 1))
+        last = row
+    return min(last)
+
+
+def test_repetitive_text_in_slices(monkeypatch):
+    rng = random.Random(4)
+    items = [(1, "ha" * 150), (2, "ab" * 20 + "xyz" * 12 + "ab" * 40), (3, prose(rng, 60))]
+    whole = [("ha" * 400), "ab" * 300, "xyz" * 90 + "ab" * 50, items[1][1] + " q " + items[2][1], prose(rng, 80), "h" * 500, ""]
+    offsets = np.cumsum([0, *[len(t.encode()) for t in whole]])
+    data = np.frombuffer("".join(whole).encode(), np.uint8)
+    index = Index(items)
+    want = [np.asarray(x).tolist() for x in index.find(data, offsets)]
+    for hits, aligned in ((50, 7), (1000, 100)):
+        monkeypatch.setattr(decontamination, "MOST_HITS", hits)
+        monkeypatch.setattr(decontamination, "MOST_ALIGNED", aligned)
+        assert [np.asarray(x).tolist() for x in index.find(data, offsets)] == want
+    text, places = normal(data, offsets)
+    rows, windows, edits = index.matches(text, places)
+    known = dict(zip(zip(rows.tolist(), windows.tolist()), edits.tolist()))
+    for r in range(len(whole)):
+        own = text[places[r] : places[r + 1]].tobytes()
+        for w in range(0, len(index.length), 3):
+            least = plain_least_edits(index.bytes[w, : index.length[w]].tobytes(), own)
+            if least <= index.edits[w]:
+                assert known[r, w] == least, (r, w)
+            else:
+                assert known.get((r, w), 999) > index.edits[w]
+
+
+def test_a_megabyte_of_syllables_takes_bounded_memory():
+    import tracemalloc
+
+    index = Index([(1, "ha" * 150), (2, "ba" * 40)])
+    data = np.frombuffer(b"ha" * 250_000 + b"ba" * 250_000, np.uint8)
+    tracemalloc.start()
+    row, item, _, edits = index.find(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert item == [1, 2] and edits.tolist() == [0, 0]
+    assert peak < 1 << 30
