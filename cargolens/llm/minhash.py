@@ -107,6 +107,7 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int):
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0).slice(first, n),
+                    "text_hash": batch.column(2).slice(first, n),
                     "n_shingles": pa.array(count, pa.int64()),
                     "set_one": one.view(np.int64),
                     "set_two": two.view(np.int64),
@@ -123,9 +124,14 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def sign(batches):
         return _sign(batches, words)
 
-    longs = ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "set_one", "set_two", *SKETCHES, *LANES))
+    longs = ", ".join(f"{c} long" for c in ("doc_id", "text_hash", "n_shingles", "set_one", "set_two", *SKETCHES, *LANES))
     schema = f"{longs}, index array<long>"
-    return saved(docs.select("doc_id", "text").mapInArrow(sign, schema), "signatures")
+    return saved(docs.select("doc_id", "text", text_hash()).mapInArrow(sign, schema), "signatures")
+
+
+def text_hash() -> Column:
+    """What tells rows of one doc_id with different texts apart."""
+    return F.xxhash64("text").alias("text_hash")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int):
@@ -137,7 +143,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int):
             cut = np.searchsorted(row, np.arange(stop - first + 1))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column(0).slice(first, stop - first),
+                    "node": batch.column(0).slice(first, stop - first),
                     "members": pa.array([keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
                 }
             )
@@ -212,21 +218,24 @@ class Candidates:
 
     def __init__(self, docs: DataFrame, sets: DataFrame, words: int, least: int):
         self._least = least
-        keys = sets.select("doc_id", F.posexplode("index").alias("number", "key"))
+        keys = sets.select("node", F.posexplode("index").alias("number", "key"))
         common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         self._shared = saved(keys.join(common, "key"), "shared-keys")
-        degree = self._shared.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("degree"))
+        degree = self._shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
         # hints keep the plan the same at every size: these sides may be as large as any
-        own = sets.drop("index", "set_one", "set_two").join(degree.hint("merge"), "doc_id")
+        own = sets.drop("index", "set_one", "set_two").join(degree.hint("merge"), "node")
         self._info = saved(own, "candidates")
-        texts = docs.join(self._info.select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        self._members = saved(texts.mapInArrow(lambda x: _sets(x, words), "doc_id long, members binary"), "sets")
+        first = ["doc_id", "text_hash"]
+        texts = docs.select("doc_id", "text", text_hash()).join(self._info.select(*first, "node").hint("merge"), first)
+        texts = texts.dropDuplicates(first).select("node", "text")
+        self._members = saved(texts.mapInArrow(lambda x: _sets(x, words), "node long, members binary"), "sets")
+        self._info = self._info.drop(*first)
         self._links: DataFrame | None = None
 
     def _with(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
         for side in "ab":
-            named = {c: f"{c}_{side}" for c in info.columns if c != "doc_id"}
-            pairs = pairs.join(info.withColumnsRenamed(named | {"doc_id": side}), side)
+            named = {c: f"{c}_{side}" for c in info.columns if c != "node"}
+            pairs = pairs.join(info.withColumnsRenamed(named | {"node": side}), side)
         return pairs
 
     def _add(self, pairs: DataFrame) -> None:
@@ -238,61 +247,89 @@ class Candidates:
         self._links = links if self._links is None else self._links.unionByName(links)
 
     def _placed(self) -> DataFrame:
-        """The shared keys with the component that each document has so far."""
+        """The shared keys with the component that each set has so far."""
         if self._links is None:
-            return self._shared.withColumn("component", F.col("doc_id"))
-        found = components(self._links).withColumnRenamed("id", "doc_id")
-        return self._shared.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            return self._shared.withColumn("component", F.col("node"))
+        found = components(self._links).withColumnRenamed("id", "node")
+        return self._shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     def _compare_with_centres(self, placed: DataFrame) -> None:
         """Compare the members of each key with the two of highest degree that are apart."""
-        ranked = placed.join(self._info.select("doc_id", "degree"), "doc_id")
-        order = F.struct("degree", (-F.col("doc_id")).alias("id"))
-        one = ranked.groupBy("key").agg(F.max_by(F.struct("doc_id", "component"), order).alias("one"))
+        ranked = placed.join(self._info.select("node", "degree"), "node")
+        order = F.struct("degree", (-F.col("node")).alias("id"))
+        one = ranked.groupBy("key").agg(F.max_by(F.struct("node", "component"), order).alias("one"))
         rest = ranked.join(one, "key").where(F.col("component") != F.col("one.component"))
-        two = rest.groupBy("key").agg(F.max_by("doc_id", order).alias("two"))
-        pairs = rest.join(two, "key").select("doc_id", F.explode(F.array("one.doc_id", "two")).alias("centre"))
-        pairs = pairs.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+        two = rest.groupBy("key").agg(F.max_by("node", order).alias("two"))
+        pairs = rest.join(two, "key").select("node", F.explode(F.array("one.node", "two")).alias("centre"))
+        pairs = pairs.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         close = self._with(pairs.distinct(), self._info.drop("degree", *LANES))
         self._add(close.where(_similar_size(self._least) & (_apart() <= sketch_distance(self._least))).select("a", "b"))
 
-    def _compare_all_apart(self, placed: DataFrame) -> None:
-        """Compare all members of a key that are in different components.
+    def _dealt(self, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Two sides to join on key and part, which meet in every pair of a key that is apart.
 
-        A key with many members is dealt out: each member is in one part as ``a`` and in all
-        parts as ``b``, so no task compares more than PART members with the others.
+        One side has the members outside of the key's largest component, each in one part, the
+        other all members in all parts, so members of a large component do not meet each other
+        and no task compares more than PART members with the others.
         """
-        several = placed.groupBy("key").agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"),
+        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+        several = sizes.groupBy("key").agg(
+            F.max(F.struct("n", "component"))["component"].alias("major"),
+            (F.sum("n") - F.max("n")).alias("minor"),
         )
-        apart = placed.drop("n").join(several.where("low < high").select("key", "parts"), "key")
-        apart = saved(apart.join(self._info.drop("degree"), "doc_id"), "apart")
+        several = several.where("minor > 0").withColumn("parts", F.ceil(F.col("minor") / F.lit(PART)).cast("int"))
+        apart = placed.drop("n").join(several.drop("minor"), "key")
+        apart = saved(apart.join(self._info.drop("degree"), "node"), "apart")
         parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        dealt = {"a": F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), "b": parts}
-        one, two = (
-            apart.withColumn("part", part)
-            .drop("parts")
-            .withColumnsRenamed({c: f"{c}_{side}" for c in apart.columns if c not in ("key", "parts")})
-            for side, part in dealt.items()
+        one = apart.where("component <> major").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        return tuple(
+            side.drop("parts").withColumnsRenamed({c: f"{c}_{x}" for c in apart.columns if c not in ("key", "parts")})
+            for x, side in (("a", one), ("b", apart.withColumn("part", parts)))
         )
+
+    def _compare_all_apart(self, placed: DataFrame) -> None:
+        """Compare all members of a key that are in different components."""
+        one, two = self._dealt(placed)
         pairs = one.join(two, ["key", "part"]).where(
-            (F.col("doc_id_a") < F.col("doc_id_b"))
+            ((F.col("component_b") == F.col("major_b")) | (F.col("node_a") < F.col("node_b")))
             & (F.col("component_a") != F.col("component_b"))
             & _similar_size(self._least)
             & (_apart() <= sketch_distance(self._least))
             & _first_shared()
         )
-        self._add(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
+        self._add(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
     def components(self) -> DataFrame:
-        """(id, component) of all documents that are linked to another."""
+        """(id, component) of all sets that are linked to another, by their nodes."""
         self._compare_with_centres(self._placed())
         self._compare_all_apart(self._placed())
         return components(self._links)
 
 
+def _grouped(docs: DataFrame, words: int, least: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, group (null without words) and component_id of every row."""
+    checked(least)
+    signed = signatures(docs, words)
+    full = signed.where("n_shingles > 0")
+    print_of = ["n_shingles", "set_one", "set_two"]
+    # sets go by numbers of their own, since rows of one doc_id may have different texts
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    equal = full.groupBy(*print_of).agg(
+        first.alias("first"),
+        *(F.first(c).alias(c) for c in (*SKETCHES, *LANES, "index")),
+    )
+    equal = equal.select("*", "first.doc_id", "first.text_hash").drop("first")
+    sets = saved(equal.withColumn("node", F.monotonically_increasing_id()), "different-sets")
+    found = Candidates(docs.select("doc_id", "text"), sets, words, least).components()
+    placed = sets.select(*print_of, "doc_id", "node").join(found.withColumnRenamed("id", "node"), "node", "left")
+    placed = placed.select(*print_of, "doc_id", F.coalesce("component", "node").alias("group"))
+    names = placed.groupBy("group").agg(F.min("doc_id").alias("named"))
+    named = placed.drop("doc_id").join(names, "group")
+    out = signed.select("doc_id", "text_hash", *print_of).join(named, print_of, "left")
+    component = F.coalesce("named", "doc_id").alias("component_id")
+    return out.select("doc_id", "text_hash", "n_shingles", "group", component)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document (doc_id, text).
 
@@ -300,42 +337,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     both together; a component is named by its smallest doc_id, which alone is kept. Texts
     without words, null ones included, link with nothing. Equal sets, whose fingerprints of
     128 bits agree, are one from the start, and links are confirmed on full sets. Rows that
-    repeat a doc_id are copies of one document if their texts agree. A null doc_id is kept and
+    repeat a doc_id are compared by their texts, each for itself. A null doc_id is kept and
     names no component. Other
     columns are ignored. An empty table gives an empty result. A ``least`` too small for the
     signature raises ValueError.
     """
-    checked(least)
-    signed = signatures(docs, words)
-    full = signed.where("n_shingles > 0")
-    print_of = ["n_shingles", "set_one", "set_two"]
-    equal = full.groupBy(*print_of).agg(
-        F.min("doc_id").alias("doc_id"),
-        *(F.first(c).alias(c) for c in (*SKETCHES, *LANES, "index")),
-    )
-    sets = saved(equal, "different-sets")
-    found = Candidates(docs.select("doc_id", "text"), sets, words, least).components()
-    named = sets.select(*print_of, F.col("doc_id").alias("first_id")).join(
-        found.withColumnRenamed("id", "first_id"), "first_id", "left"
-    )
-    named = named.select(*print_of, F.coalesce("component", "first_id").alias("named"))
-    out = signed.select("doc_id", *print_of).join(named, print_of, "left")
-    component = F.coalesce("named", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    found = _grouped(docs, words, least)
+    return found.select("doc_id", "n_shingles", "component_id", _is_kept().alias("kept"))
+
+
+def _is_kept() -> Column:
+    return F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """The documents, all columns, but of each component only the one that is kept.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows without doc_id
-    and texts without words stay.
+    Rows that repeat a doc_id are told apart by their texts: of those in one component, or
+    without words, one row stays. Rows without doc_id and texts without words stay.
     """
-    found = near_duplicates(docs, words, least).where(F.col("doc_id").isNotNull())
-    by_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    found = saved(_grouped(docs, words, least).where(F.col("doc_id").isNotNull()), "groups")
+    by_id = found.groupBy("doc_id").agg(F.max(_is_kept()).alias("kept"), F.count("*").alias("n"))
     changed = saved(by_id.where(~F.col("kept") | (F.col("n") > 1)), "not-as-they-are")
     # the hint keeps the plan the same at every size
     out = docs.join(changed.select("doc_id").hint("merge"), "doc_id", "left_anti")
-    again = changed.where("kept").select("doc_id")
+    again = changed.where("kept AND n > 1").select("doc_id")
     if not again.isEmpty():
-        out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        known = found.join(again, "doc_id", "left_semi").where(_is_kept())
+        known = known.select("doc_id", F.col("text_hash").alias("__text"), F.col("group").alias("__group")).distinct()
+        rows = docs.withColumn("__text", F.xxhash64("text")).join(known, ["doc_id", "__text"])
+        out = out.unionByName(rows.dropDuplicates(["doc_id", "__group"]).select(*docs.columns))
     return out.select(*docs.columns)

@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cargolens.llm import minhash, neighbours
 from cargolens.llm.components import components
@@ -103,6 +104,38 @@ def test_one_of_each_group_stays(spark):
     assert near_duplicates(no_documents(spark)).count() == without_near_duplicates(no_documents(spark)).count() == 0
 
 
+def test_rows_of_one_id_go_by_their_texts(spark):
+    rng = random.Random(6)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    near = lambda text: " ".join([*text.split()[:-1], "changed"])
+    rows = [(5, one), (5, two), (7, near(one)), (8, near(two)), (9, near(three)), (5, one), (6, three), (6, ""), (6, " "), (4, near(one) + " more")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(documents(spark, rows)).collect())
+    assert got == sorted(
+        [(5, 4, False), (5, 4, False), (5, 5, True), (7, 4, False), (8, 5, False), (9, 6, False), (6, 6, True), (6, 6, True), (6, 6, True), (4, 4, True)]
+    )
+    kept = sorted((r.doc_id, r.text) for r in without_near_duplicates(documents(spark, rows)).collect())
+    assert [k for k in kept if k[1].strip()] == sorted([(4, rows[9][1]), (5, two), (6, three)])
+    assert [k[0] for k in kept if not k[1].strip()] == [6]
+
+
+def test_members_of_a_large_component_do_not_meet_again(spark, monkeypatch):
+    """400 near copies and 10 texts that share keys with them, as pairs of a made-up key."""
+    monkeypatch.setattr(minhash, "PART", 4)
+    info = spark.range(410).select(F.col("id").alias("node"), F.lit(1).alias("degree"), F.lit(0).alias("x"))
+    placed = spark.range(410).select(
+        F.col("id").alias("node"), F.lit(1).alias("number"), F.lit(77).alias("key"), F.lit(410).alias("n"),
+        F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 5 + 400).cast("long").alias("component"),
+    )
+    found = object.__new__(minhash.Candidates)
+    found._info = info
+    one, two = found._dealt(placed)
+    met = one.join(two, ["key", "part"])
+    assert met.count() == 10 * 410
+    wanted = met.where("(component_b = major_b OR node_a < node_b) AND component_a <> component_b")
+    pairs = {frozenset((r.node_a, r.node_b)) for r in wanted.collect()}
+    assert wanted.count() == len(pairs) == 10 * 400 + 40
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))
