@@ -6,7 +6,7 @@ bucket add up to, counting gains alone, bounds the total of every key in it. The
 strongest buckets give a threshold, the k-th best of their exact totals; a key can only be among
 the best if all of its buckets reach the threshold, and only rows of such keys are grouped. The
 result is exact, ties included. Totals that differ by much, as those of customers and products do,
-leave few keys; equal totals leave all of them, and cost one scan more than grouping at once.
+leave few keys; equal totals leave all of them, and cost two scans more than grouping at once.
 """
 
 from __future__ import annotations
