@@ -49,12 +49,12 @@ def _behind(df: DataFrame, order: Sequence[str], after: Sequence) -> Column:
     return reduce(or_, conditions, F.lit(False))
 
 
-def page(df: DataFrame, order: Sequence[str], n: int, after: Sequence | None = None, columns: Sequence[str] | None = None) -> Page:
+def page_of(df: DataFrame, order: Sequence[str], n: int, after: Sequence | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """The first ``n`` rows by ``order``, or the first ``n`` behind ``after``, a page's own ``after``.
 
-    Ascending, missing values last. One scan: every task keeps ``n`` rows at most.
+    Ascending, missing values last. One scan: every task keeps ``n`` rows at most. Beside the
+    ``columns`` stand those that the next page starts from.
     """
-    columns = list(columns or df.columns)
     placed = df.withColumns({_FILE: F.col("_metadata.file_path"), _PLACE: F.col("_metadata.row_index")})
     whole = [*order, _FILE, _PLACE]
     if after is not None:
@@ -64,8 +64,14 @@ def page(df: DataFrame, order: Sequence[str], n: int, after: Sequence | None = N
         else:  # implied by the next condition, but this one the scan understands
             placed = placed.where((F.col(first) >= _literal(placed, order[0], value)) | F.col(first).isNull())
         placed = placed.where(_behind(placed, whole, after))
-    needed = list(dict.fromkeys([*columns, *whole]))
+    needed = list(dict.fromkeys([*(columns or df.columns), *whole]))
     shown = placed.select(*[f"`{c}`" for c in needed])
-    found = shown.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in whole]).limit(n).collect()
-    token = tuple(found[-1][c] for c in whole) if len(found) == n else None
+    return shown.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in whole]).limit(n)
+
+
+def page(df: DataFrame, order: Sequence[str], n: int, after: Sequence | None = None, columns: Sequence[str] | None = None) -> Page:
+    """``page_of`` as rows, and where the next page starts."""
+    columns = list(columns or df.columns)
+    found = page_of(df, order, n, after, columns).collect()
+    token = tuple(found[-1][c] for c in (*order, _FILE, _PLACE)) if len(found) == n else None
     return Page([Row(**{c: r[c] for c in columns}) for r in found], token)

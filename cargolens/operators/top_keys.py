@@ -11,7 +11,7 @@ leave few keys; equal totals leave all of them, and cost two scans more than gro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,21 +41,28 @@ def _in_buckets(df: DataFrame, keys: Sequence[str], chosen: DataFrame, salt: int
 
 
 def candidates(
-    df: DataFrame, keys: Sequence[str], value: str, k: int, largest: bool = True, buckets: int = BUCKETS
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    k: int,
+    largest: bool = True,
+    buckets: int = BUCKETS,
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The rows of all keys that can be among the ``k`` with the largest (smallest) sums of ``value``.
 
     Rows that miss a key belong to none. Missing values add nothing, and a key without any value
-    counts as 0; values that are no numbers (NaN) have to be cleaned away before. Two small jobs run: the bounds of the buckets, which are kept, and the threshold.
+    counts as 0; values that are no numbers (NaN) have to be cleaned away before. One job finds the
+    threshold. ``store`` writes a table and reads it back; without it the bounds of the buckets
+    are found twice.
     """
     for key in keys:
         df = df.where(F.col(f"`{key}`").isNotNull())
     df = df.select(*[f"`{c}`" for c in dict.fromkeys([*keys, value])])
     signed = F.coalesce(F.col(f"`{value}`"), F.lit(0))
     signed = signed if largest else -signed
-    bounds = bucket_bounds(df, keys, signed, buckets).toArrow()  # at most HASHES * buckets rows
-    spark = df.sparkSession
-    bounds = spark.createDataFrame(bounds)
+    bounds = bucket_bounds(df, keys, signed, buckets)  # at most HASHES * buckets rows
+    bounds = store(bounds) if store else bounds
     strongest = bounds.where("hash = 0").orderBy(F.desc("bound"), "bucket").limit(k)
     totals = _in_buckets(df, keys, strongest, 0, buckets).groupBy(*[f"`{c}`" for c in keys]).agg(F.sum(signed).alias("total"))
     best = [r.total for r in totals.orderBy(F.desc("total")).limit(k).select("total").collect()]
@@ -70,10 +77,16 @@ def candidates(
 
 
 def top_keys(
-    df: DataFrame, keys: Sequence[str], value: str, k: int, largest: bool = True, buckets: int = BUCKETS
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    k: int,
+    largest: bool = True,
+    buckets: int = BUCKETS,
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Rows ``(keys..., total)`` of the ``k`` best keys, ties in the order of the keys."""
-    rows = candidates(df, keys, value, k, largest, buckets)
+    rows = candidates(df, keys, value, k, largest, buckets, store)
     totals = rows.groupBy(*[f"`{c}`" for c in keys]).agg(
         F.coalesce(F.sum(f"`{value}`"), F.lit(0)).cast("double").alias("total")
     )

@@ -22,7 +22,7 @@ from cargolens.operators.distinct_sets import as_sets, count_sets, key_places
 from cargolens.operators.facets import Selection, drill_options, explore, facet_filter, facet_options, filter_coverage
 from cargolens.operators.features import prepare
 from cargolens.operators.moments import comoments_of, correlation, deviations, merged_comoments
-from cargolens.operators.paging import page
+from cargolens.operators.paging import page, page_of
 from cargolens.operators.reports import loss_flag, report, share_of_total
 from cargolens.operators.summary import SUMMARY_DIMENSIONS, summarize, summary_report
 from cargolens.operators.top_keys import top_keys
@@ -32,9 +32,10 @@ from cargolens.plans.kpis import distinct_count, kpis, kpis_long, kpis_of_summar
 from cargolens.schema import EXPLORER_COLUMNS, FEATURE_COLUMNS
 from cargolens.sources.files import read_csv, read_order_items, write_bucketed, write_clustered, write_csv, write_mart
 from cargolens.sources.incremental import IncrementalMart
+from cargolens.sources.staging import new_path, written_out
 from cargolens.sources.star import bind_star_schema
 from workload import refreshing
-from workload.tables import stage, stored
+from workload.tables import shared_folder, stage, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -346,23 +347,27 @@ def _on_comoments(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: comparable(build(merged_comoments(comoments(spark, folder))))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A small table in the shared folder."""
+    return written_out(df, new_path(df.sparkSession, "kept", shared_folder(df.sparkSession)))
+
+
 def _threshold_customers(df: DataFrame) -> DataFrame:
     names = ("customer_id", "customer_fname", "customer_lname")
-    best = top_keys(df, names, "sales", 20).withColumnRenamed("total", "total_sales")
+    best = top_keys(df, names, "sales", 20, store=_kept).withColumnRenamed("total", "total_sales")
     return best.withColumn("customer_name", F.concat_ws(" ", *names[1:]))
 
 
 def _threshold_products(df: DataFrame, value: str, name: str, n: int, largest: bool = True) -> DataFrame:
-    return top_keys(df, ["product_name"], value, n, largest).withColumnRenamed("total", name)
+    return top_keys(df, ["product_name"], value, n, largest, store=_kept).withColumnRenamed("total", name)
 
 
 def _third_page(df: DataFrame) -> DataFrame:
     """The third of the explorer's pages of 500 rows, each found from the one before."""
     after = None
-    for _ in range(3):
-        shown = page(df, EXPLORER_COLUMNS, 500, after, EXPLORER_COLUMNS)
-        after = shown.after
-    return df.sparkSession.createDataFrame(shown.rows, df.select(*EXPLORER_COLUMNS).schema)
+    for _ in range(2):
+        after = page(df, EXPLORER_COLUMNS, 500, after, EXPLORER_COLUMNS).after
+    return page_of(df, EXPLORER_COLUMNS, 500, after, EXPLORER_COLUMNS).select(*EXPLORER_COLUMNS)
 
 
 def _describe_gaps(df: DataFrame) -> DataFrame:
