@@ -229,7 +229,7 @@ class Candidates:
         texts = docs.select("doc_id", "text", text_hash()).join(self._info.select(*first, "node").hint("merge"), first)
         texts = texts.dropDuplicates(first).select("node", "text")
         self._members = saved(texts.mapInArrow(lambda x: _sets(x, words), "node long, members binary"), "sets")
-        self._info = self._info.drop(*first)
+        self._info = self._info.drop("text_hash")
         self._links: DataFrame | None = None
 
     def _with(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -255,14 +255,15 @@ class Candidates:
 
     def _compare_with_centres(self, placed: DataFrame) -> None:
         """Compare the members of each key with the two of highest degree that are apart."""
-        ranked = placed.join(self._info.select("node", "degree"), "node")
-        order = F.struct("degree", (-F.col("node")).alias("id"))
+        ranked = placed.join(self._info.select("node", "degree", "doc_id"), "node")
+        # of equal degrees the smallest doc_id, which is the same under every key
+        order = F.struct("degree", (-F.col("doc_id")).alias("id"))
         one = ranked.groupBy("key").agg(F.max_by(F.struct("node", "component"), order).alias("one"))
         rest = ranked.join(one, "key").where(F.col("component") != F.col("one.component"))
         two = rest.groupBy("key").agg(F.max_by("node", order).alias("two"))
         pairs = rest.join(two, "key").select("node", F.explode(F.array("one.node", "two")).alias("centre"))
         pairs = pairs.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        close = self._with(pairs.distinct(), self._info.drop("degree", *LANES))
+        close = self._with(pairs.distinct(), self._info.drop("degree", "doc_id", *LANES))
         self._add(close.where(_similar_size(self._least) & (_apart() <= sketch_distance(self._least))).select("a", "b"))
 
     def _dealt(self, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -279,7 +280,7 @@ class Candidates:
         )
         several = several.where("minor > 0").withColumn("parts", F.ceil(F.col("minor") / F.lit(PART)).cast("int"))
         apart = placed.drop("n").join(several.drop("minor"), "key")
-        apart = saved(apart.join(self._info.drop("degree"), "node"), "apart")
+        apart = saved(apart.join(self._info.drop("degree", "doc_id"), "node"), "apart")
         parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         one = apart.where("component <> major").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         return tuple(
