@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import add
 
@@ -147,13 +147,14 @@ def missing_cells(df: DataFrame) -> DataFrame:
     return df.agg(gaps.alias("missing_cells"))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """How many rows repeat an earlier row in every column; missing equals missing.
 
     Only a 64-bit row hash is shuffled at first. The full rows are compared just for
     hashes seen more than once, so equal hashes of different rows do no harm and copies
-    are still collapsed inside each task. Adaptive execution broadcasts the repeated
-    hashes if they turn out to be few.
+    are still collapsed inside each task. ``store`` writes the repeated hashes and reads them
+    back: their size is then known before any row moves, and few are broadcast. Without
+    it all rows are shuffled to meet them.
     """
     every = [_col(c) for c in df.columns]
     hashed = df.withColumn("row_hash", F.xxhash64(*every))
@@ -161,7 +162,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         hashed.groupBy("row_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("row_hash")
     )
     copies = (
-        hashed.join(repeated, "row_hash", "left_semi")
+        hashed.join(store(repeated) if store else repeated, "row_hash", "left_semi")
         .groupBy(*every)
         .agg((F.count("*") - 1).alias("extra"))
     )

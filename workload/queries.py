@@ -577,9 +577,9 @@ def queries() -> dict[str, Query]:
         "categorical_values": _on_raw(quality.categorical_values),
         "missing_values": _on_raw(quality.missing_values),
         "missing_cells": _on_raw(quality.missing_cells),
-        "duplicate_rows": _on_raw(quality.duplicate_rows),
+        "duplicate_rows": _on_raw(lambda raw: quality.duplicate_rows(raw, _kept)),
         "duplicate_dimension_rows": _on_raw(
-            lambda raw: quality.duplicate_rows(raw.select(*DIMENSION_COLUMNS))
+            lambda raw: quality.duplicate_rows(raw.select(*DIMENSION_COLUMNS), _kept)
         ),
         "negative_sales": _on_raw(quality.negative_sales),
         "negative_profit": _on_raw(quality.negative_profit),
