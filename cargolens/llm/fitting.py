@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.textbytes import pieces
+from cargolens.llm.textbytes import SMALL_BYTES, give_back, pieces
 
 #: What is predicted, beside columns of the caller's own naming.
 KEPT = "__predicted"
@@ -45,8 +45,9 @@ def featured(docs: DataFrame, chosen: DataFrame, extract: Callable, columns: tup
     """
 
     def rows(batches: Iterator[pa.RecordBatch]):
+        give_back()
         for batch in batches:
-            for first, stop, data, offsets in pieces(batch.column("text")):
+            for first, stop, data, offsets in pieces(batch.column("text"), SMALL_BYTES):
                 more = [batch.column(c).slice(first, stop - first) for c in columns]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -71,6 +72,7 @@ def fitted(rows: DataFrame, fit: Callable):
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
+        give_back()
         table = [(f, y) for b in batches for y, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         table.sort()
         model = fit(np.array([y for _, y in table], float), [f for f, _ in table])
@@ -93,9 +95,10 @@ def scored(docs: DataFrame, score: Callable, held_out: Column, columns: tuple[st
     names = [m.split()[0] for m in made]
 
     def rows(batches: Iterator[pa.RecordBatch]):
+        give_back()
         for batch in batches:
             values = [np.empty(0)]
-            for first, stop, data, offsets in pieces(batch.column("text")):
+            for first, stop, data, offsets in pieces(batch.column("text"), SMALL_BYTES):
                 more = [batch.column(c).slice(first, stop - first) for c in columns]
                 values.append(score(data, offsets, *more))
             value = np.concatenate(values)

@@ -29,8 +29,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cargolens.llm.storage import saved
-from cargolens.llm.textbytes import give_back, pieces
-from cargolens.llm.tokens import encoder, tokenizer_path
+from cargolens.llm.textbytes import SMALL_BYTES, give_back, pieces
+from cargolens.llm.tokens import _encoders, encoder, tokenizer_path
 
 CAPACITY = 2048
 #: Groups of equal cardinality that the large lengths are dealt into.
@@ -38,8 +38,6 @@ GROUPS = 80
 #: Lengths up to this share of the capacity are small, so patterns have up to three places. Both
 #: are tried, and the plan with fewer sequences is taken.
 SMALL = (0.3, 0.35)
-#: Text that is tokenized at once. Its arrays take some 40 times as much, in every worker.
-CUT_BYTES = 512 << 10
 
 
 @dataclass
@@ -230,12 +228,12 @@ def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str | None, capacity: int
     from pyspark import TaskContext
 
     block = TaskContext.get().partitionId()
-    give_back()
+    give_back(_encoders)
     enc = encoder(tokenizer or tokenizer_path())
     seen = np.zeros(capacity + 1, np.int64)
     for batch in batches:
         doc_ids = batch.column(0)
-        for first, stop, data, offsets in pieces(batch.column(1), CUT_BYTES):
+        for first, stop, data, offsets in pieces(batch.column(1), SMALL_BYTES):
             ids, at = enc.encode(data, offsets)
             ids = np.insert(ids, at[1:], enc.dtype.type(end_id)).astype("<u4")
             n_tokens = np.diff(at) + 1

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 2 << 20
+#: For work whose arrays take many times the text, in every worker.
+SMALL_BYTES = 512 << 10
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -37,9 +39,18 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[: n + 1]
 
 
-def give_back() -> None:
-    """Returns to the system what earlier tasks left free in this worker, which Spark uses again."""
-    _powers.clear()
+#: What this worker remembers between tasks; other modules add their own.
+caches: list[dict] = [_powers]
+
+
+def give_back(*kept: dict) -> None:
+    """Returns to the system what earlier tasks left in this worker, which Spark uses again.
+
+    All caches but ``kept`` are emptied.
+    """
+    for cache in caches:
+        if not any(cache is x for x in kept):
+            cache.clear()
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -11,7 +11,7 @@ import os
 
 import numpy as np
 
-from cargolens.llm.textbytes import ragged, span_hashes
+from cargolens.llm.textbytes import caches, ragged, span_hashes
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that a worker remembers; at more it starts anew. Bounds memory, not results.
@@ -20,6 +20,7 @@ MEMORY = 4_000_000
 LONGEST = 64
 
 _encoders: dict[str, Encoder] = {}
+caches.append(_encoders)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -26,3 +26,14 @@ def test_cutting_holds_little(monkeypatch):
     assert rows >= 800
     print("peak", peak >> 20)
     assert peak < 60 << 20
+
+
+def test_workers_forget_what_other_tasks_needed():
+    from cargolens.llm import textbytes, tokens
+
+    tokens.encoder(tokens.tokenizer_path())
+    textbytes._power(3, 10)
+    textbytes.give_back(tokens._encoders)
+    assert tokens._encoders and not textbytes._powers
+    textbytes.give_back()
+    assert not tokens._encoders
